@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import media, packing, sharding
+from vertexloom.llm import media, packing, quality_crf, sharding, toxicity_chain
 from vertexloom.llm.common import table
 
 
@@ -23,6 +23,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's chances of three categories, and whether it is toxic."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_chain.score(docs, toxicity_chain.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of binary lengths."""
     import public_tokenizers
@@ -30,10 +36,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
 
 
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality from its lines."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.score(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_sharding": op3_sharding,
+    "op4_toxicity_chain": op4_toxicity_chain,
     "op7_packing": op7_packing,
+    "op10_quality_crf": op10_quality_crf,
 }
 
 ORACLES: dict[str, str] = {}
