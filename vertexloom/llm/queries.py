@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import media, packing, quality_crf, sharding, toxicity_chain
+from vertexloom.llm import media, packing, quality_crf, secrets, sharding, toxicity_chain
 from vertexloom.llm.common import table
 
 
@@ -29,6 +29,15 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_chain.score(docs, toxicity_chain.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base secrets and random strings of every text."""
+    spans = F.col("secret_spans")
+    base = F.filter(spans, lambda s: s["kind_order"] < 3)
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    made = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return made.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"), count("random"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of binary lengths."""
     import public_tokenizers
@@ -46,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_sharding": op3_sharding,
     "op4_toxicity_chain": op4_toxicity_chain,
+    "op5_secret_scans": op5_secret_scans,
     "op7_packing": op7_packing,
     "op10_quality_crf": op10_quality_crf,
 }
