@@ -53,37 +53,33 @@ ENCODINGS = (
 BLOCK = 64
 
 
-def _offsets(lengths: Column) -> Column:
-    """Sums of all entries before each of ``lengths``, in blocks so that long arrays stay cheap."""
-    n = F.size(lengths)
-    add = lambda a, b: a + b
-    zero = F.lit(0)
-    blocks = F.transform(F.sequence(zero, F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, BLOCK), zero, add))
+def add_found(df: DataFrame, text: str, pattern: str, keep, out: str, group: int = 0) -> DataFrame:
+    """``df`` with the column ``out``: structs of start, end and value of the pattern's leftmost, non-overlapping matches that ``keep`` accepts.
+
+    ``keep`` gets the value of ``group``. Positions count code points: what lies between matches comes from splitting by the same pattern,
+    and running sums of lengths are taken in blocks, so that many matches stay cheap. What a lambda refers to is a column, named
+    twice at least, for otherwise it would be computed anew for each match.
+    """
+    whole, parts, gaps, lengths, blocks, starts = (F.col(f"{out}_{k}") for k in ("whole", "parts", "gaps", "lengths", "blocks", "starts"))
+    none = F.array().cast("array<string>")
+    zero, add = F.lit(0), lambda a, b: a + b
+    every = F.sequence(zero, F.size(whole) - 1)
 
     def before(i: Column) -> Column:
         block = F.floor(i / BLOCK).cast("int")
         return F.aggregate(F.slice(blocks, F.lit(1), block), zero, add) + F.aggregate(F.slice(lengths, block * BLOCK + 1, i - block * BLOCK), zero, add)
 
-    return F.transform(F.sequence(zero, n - 1), before)
-
-
-def found(text: Column, pattern: str, keep, group: int = 0) -> Column:
-    """Structs of start, end and value of the pattern's leftmost, non-overlapping matches that ``keep`` accepts; empty if none.
-
-    ``keep`` gets the value of ``group``. Positions count code points. What lies between matches comes from splitting by the same pattern.
-    """
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gaps = F.split(text, pattern, -1)
-    size = lambda s: F.char_length(s)
-    lengths = F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.array(size(g), size(m))))
-    starts = _offsets(lengths)
-    spans = F.transform(
-        F.sequence(F.lit(0), F.size(whole) - 1),
-        lambda i: F.struct(F.get(starts, 2 * i + 1).cast("int").alias("start"), (F.get(starts, 2 * i + 1) + size(F.get(whole, i))).cast("int").alias("end"), F.get(parts, i).alias("value")),
-    )
-    return F.when(text.rlike(pattern), F.filter(spans, lambda s: keep(s["value"]))).otherwise(none)
+    kept = df.columns
+    df = df.withColumn(f"{out}_whole", F.when(F.col(text).rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+    some = F.size(whole) > 0
+    df = df.withColumn(f"{out}_parts", F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole).otherwise(none))
+    df = df.withColumn(f"{out}_gaps", F.when(some, F.split(text, pattern, -1)).otherwise(none))
+    df = df.withColumn(f"{out}_lengths", F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.array(F.char_length(g), F.char_length(m)))))
+    df = df.withColumn(f"{out}_blocks", F.when(some, F.transform(F.sequence(zero, F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, BLOCK), zero, add))))
+    df = df.withColumn(f"{out}_starts", F.when(some & (F.size(blocks) > 0), F.transform(every, lambda i: before(2 * i + 1))))
+    span = lambda m, i: F.struct(F.get(starts, i).cast("int").alias("start"), (F.get(starts, i) + F.char_length(m)).cast("int").alias("end"), F.get(parts, i).alias("value"))
+    spans = F.when((F.size(starts) > 0) & (F.size(parts) > 0), F.filter(F.transform(whole, span), lambda s: keep(s["value"])))
+    return df.select(*kept, F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,value:string>>")).alias(out))
 
 
 def _sum(values: Column) -> Column:
@@ -123,7 +119,9 @@ def battery(tokens: Column) -> Column:
         runs = F.size(F.regexp_extract_all(c["bits"], F.lit("0+|1+"), F.lit(0))).cast("double")
         mean = _sum(values) / n
         spread = _sum(F.transform(values, lambda x: x * x)) - n * mean * mean
-        cross = _sum(F.zip_with(F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), lambda a, b: (a - mean) * (b - mean)))
+        less = F.greatest(F.size(values) - 1, F.lit(0))
+        ends = F.coalesce(F.get(values, F.lit(0)) + F.get(values, less), F.lit(0.0))
+        cross = _sum(F.zip_with(F.slice(values, F.lit(1), less), F.slice(values, F.lit(2), less), lambda a, b: a * b)) - mean * (2 * n * mean - ends) + (n - 1) * mean * mean
         return F.struct(
             c["start"].alias("start"), c["end"].alias("end"), pick(c["code"], [e for e, _ in ENCODINGS]).alias("encoding"), n.alias("n"), k.alias("k"), (squares * k / n - n).alias("chi2"),
             runs.alias("runs"), ones.alias("ones"), F.when(spread > 0, cross / spread).otherwise(1.0).alias("serial"),
@@ -171,13 +169,12 @@ def scan(df: DataFrame, *, text_col: str = "text", keep: list[str], share: float
     text = F.coalesce(F.col(text_col), F.lit(""))
     long = lambda least: lambda v: F.char_length(v) >= least
     shortest = lambda pattern, least: f"{pattern.removesuffix('+')}{{{least},}}"  # noqa: E731  a maximal run, so that the quantifier can filter
-    marked = df.select(
-        *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)],
-        found(text, ASSIGN, long(ASSIGN_LEAST), 2).alias("found_assign"),
-        found(text, shortest(ACCESS, ACCESS_LEAST - 4), long(ACCESS_LEAST)).alias("found_access"),
-        found(text, shortest(HEX, HEX_LEAST), long(HEX_LEAST)).alias("found_hex"),
-        battery(found(text, shortest(CANDIDATE, LEAST), long(LEAST))).alias("tests"),
-    )
+    marked = df.select(*[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], text.alias("scanned"))
+    marked = add_found(marked, "scanned", ASSIGN, long(ASSIGN_LEAST), "found_assign", 2)
+    marked = add_found(marked, "scanned", shortest(ACCESS, ACCESS_LEAST - 4), long(ACCESS_LEAST), "found_access")
+    marked = add_found(marked, "scanned", shortest(HEX, HEX_LEAST), long(HEX_LEAST), "found_hex")
+    marked = add_found(marked, "scanned", shortest(f"{CANDIDATE}+", LEAST), long(LEAST), "found_random")
+    marked = marked.withColumn("tests", battery(F.col("found_random")))
     kind = lambda name: lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name)).alias("kind_order"), s["end"].alias("end"), F.lit(name).alias("kind"))
     base = F.concat(*(F.transform(f"found_{name}", kind(name)) for name in KINDS[:3]))
     rows = cut(marked.select(*[F.col(f"kept_{i}") for i in range(len(keep))], base.alias("base"), "tests"))
