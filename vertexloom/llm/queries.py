@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import media, packing, quality_crf, secrets, sharding, toxicity_chain
+from vertexloom.llm import media, order_minhash, packing, quality_crf, secrets, sharding, toxicity_chain
 from vertexloom.llm.common import table
 
 
@@ -45,6 +45,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and their likeness."""
+    pairs = order_minhash.edited_pairs(table(spark, sf_dir, "documents"))
+    made = order_minhash.add_signature(pairs, F.col("edited"), "edited_signature")
+    return made.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.written(F.col("signature")).alias("fingerprint"), order_minhash.written(F.col("edited_signature")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"), order_minhash.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
 def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality from its lines."""
     docs = table(spark, sf_dir, "documents")
@@ -57,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_secret_scans": op5_secret_scans,
     "op7_packing": op7_packing,
+    "op8_order_minhash": op8_order_minhash,
     "op10_quality_crf": op10_quality_crf,
 }
 
