@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import media, order_minhash, packing, quality_crf, secrets, sharding, toxicity_chain
+from vertexloom.llm import html_extract, media, order_minhash, packing, prob_minhash, quality_crf, secrets, sharding, toxicity_chain
 from vertexloom.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"), count("random"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of binary lengths."""
     import public_tokenizers
@@ -56,6 +61,11 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates."""
+    return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality from its lines."""
     docs = table(spark, sf_dir, "documents")
@@ -67,8 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_secret_scans": op5_secret_scans,
+    "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
     "op8_order_minhash": op8_order_minhash,
+    "op9_prob_minhash": op9_prob_minhash,
     "op10_quality_crf": op10_quality_crf,
 }
 
