@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import cut, map_texts
+from vertexloom.llm.common import cut, hidden, map_texts
 
 #: Labelled documents of each class that the field is fitted on, and lines in one training sequence.
 PER_CLASS = 2000
@@ -235,21 +235,27 @@ def score_texts(field: Field | None, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-(field.curve[0] * (document_means(good, size, counts) - 0.5) + field.curve[1])))
 
 
-def score(docs: DataFrame, field: Field | None, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row; ``keep`` names columns of ``docs`` to carry along under their own names instead of ``doc_id, held_out``.
+def _scored(rows: DataFrame, field: Field | None, text: str) -> DataFrame:
+    """``rows``, whose names don't clash, and their ``quality_score``."""
+
+    def scored(part: pa.RecordBatch) -> dict:
+        made = score_texts(field, [t or "" for t in part.column(text).to_pylist()])
+        return {name: part.column(name) for name in part.schema.names} | {"quality_score": made}
+
+    return map_texts(rows, scored, ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes) + ", quality_score double", text)
+
+
+def score(docs: DataFrame, field: Field | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row, whatever other columns there are.
 
     A null text counts as empty, and an empty one is a single empty line; without labels of both kinds every score is 0.5.
     Repeated rows stay repeated with equal scores; an empty table gives no rows.
     """
+    out = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), field, "text")
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+
 
-    def scored(rows: pa.RecordBatch) -> dict:
-        made = score_texts(field, [t or "" for t in rows.column("quality_text").to_pylist()])
-        return {name: rows.column(name) for name in carried} | {"quality_score": made}
-
-    kinds = dict(docs.dtypes)
-    carried = keep if keep is not None else [id_col]
-    source = docs.select(*carried, F.col(text_col).alias("quality_text"))
-    out = map_texts(source, scored, ", ".join(f"`{name}` {kinds[name]}" for name in carried) + ", quality_score double", "quality_text")
-    if keep is not None:
-        return out
-    return out.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+def keep_good(docs: DataFrame, field: Field | None, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``THRESHOLD`` or more, with all their columns."""
+    out = _scored(hidden(docs), field, f"kept_{docs.columns.index(text_col)}")
+    return out.filter(F.col("quality_score") >= THRESHOLD).drop("quality_score").toDF(*docs.columns)

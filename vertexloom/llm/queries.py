@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import html_extract, media, order_minhash, packing, prob_minhash, quality_crf, secrets, sharding, toxicity_chain
+from vertexloom.llm import html_extract, media, order_minhash, packing, piece_lattice, prob_minhash, quality_crf, secrets, sharding, toxicity_chain
 from vertexloom.llm.common import table
 
 
+def op1_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every text."""
+    import public_tokenizers
+
+    return piece_lattice.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as PGM, read back, area-resized and hashed."""
     made = media.media_columns(table(spark, sf_dir, "documents"), with_media=False)
@@ -34,7 +41,7 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("secret_spans")
     base = F.filter(spans, lambda s: s["kind_order"] < 3)
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    made = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    made = secrets.scan(table(spark, sf_dir, "documents"))
     return made.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"), count("random"))
 
 
@@ -73,6 +80,7 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piece_lattice": op1_piece_lattice,
     "op2_media_columns": op2_media_columns,
     "op3_sharding": op3_sharding,
     "op4_toxicity_chain": op4_toxicity_chain,

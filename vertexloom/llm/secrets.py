@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import cut
+from vertexloom.llm.common import cut, hidden
 
 # The kinds in order, and their patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -160,28 +160,41 @@ def discoveries(rows: DataFrame, share: float = FALSE_SHARE):
     return lambda chance, n: bin_of(chance, F.sqrt(n)) >= least
 
 
-def scan(df: DataFrame, *, text_col: str = "text", keep: list[str], share: float = FALSE_SHARE) -> DataFrame:
-    """The columns ``keep`` and ``secret_spans``, structs of (start, kind_order, end, kind) in order, base spans and discoveries that meet none of them.
+def _long(least: int):
+    return lambda value: F.char_length(value) >= least
 
-    A null text counts as empty and has no spans. Repeated rows have equal spans; an empty table gives no rows. A column of
-    ``df`` named like one made here may be kept only if it isn't called ``secret_spans``.
+
+def _runs(pattern: str, least: int) -> str:
+    """The pattern of maximal runs, with its least length put into the quantifier: the matches are those that a later filter would leave."""
+    return f"{pattern.removesuffix('+')}{{{least},}}"
+
+
+def _with_tests(df: DataFrame) -> DataFrame:
+    df = add_found(df, "scanned", _runs(f"{CANDIDATE}+", LEAST), _long(LEAST), "found_random")
+    return df.withColumn("tests", battery(F.col("found_random")))
+
+
+def scan(df: DataFrame, *, text_col: str = "text", share: float = FALSE_SHARE) -> DataFrame:
+    """All columns of ``df`` and ``secret_spans``, structs of (start, kind_order, end, kind) in order: base spans, and discoveries that meet none of them.
+
+    The table is read twice, first for the chances of all strings, which are few and go to the shared folder. A null text counts
+    as empty and has no spans. Repeated rows have equal spans; an empty table gives no rows. A column that is called
+    ``secret_spans`` already is replaced; other names can't clash.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    long = lambda least: lambda v: F.char_length(v) >= least
-    shortest = lambda pattern, least: f"{pattern.removesuffix('+')}{{{least},}}"  # noqa: E731  a maximal run, so that the quantifier can filter
-    marked = df.select(*[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], text.alias("scanned"))
-    marked = add_found(marked, "scanned", ASSIGN, long(ASSIGN_LEAST), "found_assign", 2)
-    marked = add_found(marked, "scanned", shortest(ACCESS, ACCESS_LEAST - 4), long(ACCESS_LEAST), "found_access")
-    marked = add_found(marked, "scanned", shortest(HEX, HEX_LEAST), long(HEX_LEAST), "found_hex")
-    marked = add_found(marked, "scanned", shortest(f"{CANDIDATE}+", LEAST), long(LEAST), "found_random")
-    marked = marked.withColumn("tests", battery(F.col("found_random")))
+    df = df.drop("secret_spans")
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("scanned")
+    held = discoveries(cut(_with_tests(df.select(text)).filter(F.size("tests") > 0).select("tests")), share)
+    kept = hidden(df)
+    scanned = F.coalesce(F.col(f"kept_{df.columns.index(text_col)}"), F.lit("")).alias("scanned")
+    marked = _with_tests(kept.select(*kept.columns, scanned))
+    marked = add_found(marked, "scanned", ASSIGN, _long(ASSIGN_LEAST), "found_assign", 2)
+    marked = add_found(marked, "scanned", _runs(ACCESS, ACCESS_LEAST - 4), _long(ACCESS_LEAST), "found_access")
+    marked = add_found(marked, "scanned", _runs(HEX, HEX_LEAST), _long(HEX_LEAST), "found_hex")
     kind = lambda name: lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name)).alias("kind_order"), s["end"].alias("end"), F.lit(name).alias("kind"))
-    base = F.concat(*(F.transform(f"found_{name}", kind(name)) for name in KINDS[:3]))
-    rows = cut(marked.select(*[F.col(f"kept_{i}") for i in range(len(keep))], base.alias("base"), "tests"))
-    held = discoveries(rows, share)
+    marked = marked.withColumn("base", F.concat(*(F.transform(f"found_{name}", kind(name)) for name in KINDS[:3])))
     fresh = F.filter("tests", lambda t: held(t["chance"], t["n"]) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     spans = F.sort_array(F.concat("base", F.transform(fresh, kind("random"))))
-    return rows.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], spans.alias("secret_spans"))
+    return marked.select(*kept.columns, spans.alias("secret_spans")).toDF(*df.columns, "secret_spans")
 
 
 def listed(spans: Column) -> Column:

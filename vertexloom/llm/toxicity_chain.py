@@ -14,10 +14,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import map_texts
+from vertexloom.llm.common import hidden, map_texts
 from vertexloom.llm.quality_crf import training_rows
 
 #: Labelled documents of each class, terms of the models, and folds.
@@ -25,6 +25,7 @@ PER_CLASS = 4000
 TERMS = 1500
 FOLDS = 5
 PREFIX = 5
+THRESHOLD = 0.5
 CATEGORIES = ("toxic", "repeated", "dense")
 #: ASCII that parts words.
 _PARTS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
@@ -151,23 +152,32 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return fit_chain(index, lexicon, rows, cols, abusive, words, y, fold)
 
 
-def score(docs: DataFrame, chain: Chain | None, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, p_toxic, p_repeated, p_dense, toxic`` of every row: the chain's chances, and 1 if any of them is a half or more.
+def _scored(rows: DataFrame, chain: Chain | None, text: str) -> DataFrame:
+    """``rows``, whose names don't clash, and the chain's chances."""
 
-    ``keep`` names the columns of ``docs`` to carry along in place of ``doc_id``. A null text counts as empty. Without labels of
-    both kinds every chance is 0. Repeated rows stay repeated; an empty table gives no rows.
+    def scored(part: pa.RecordBatch) -> dict:
+        texts = part.column(text).to_pylist()
+        made = predict(chain, texts) if chain is not None and texts else np.zeros((len(texts), len(CATEGORIES)))
+        return {name: part.column(name) for name in part.schema.names} | {f"chain_{k}": made[:, i] for i, k in enumerate(CATEGORIES)}
+
+    return map_texts(rows, scored, ", ".join([*(f"`{name}` {kind}" for name, kind in rows.dtypes), *(f"chain_{k} double" for k in CATEGORIES)]), text)
+
+
+def _toxic() -> Column:
+    return F.greatest(*(f"chain_{k}" for k in CATEGORIES)) >= THRESHOLD
+
+
+def score(docs: DataFrame, chain: Chain | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, p_toxic, p_repeated, p_dense, toxic`` of every row: the chain's chances, and 1 if any of them reaches ``THRESHOLD``.
+
+    A null text counts as empty. Without labels of both kinds every chance is 0. Repeated rows stay repeated; an empty table gives
+    no rows; other columns are left out.
     """
-    kinds = dict(docs.dtypes)
-    carried = keep if keep is not None else [id_col]
+    out = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), chain, "text")
+    return out.select("doc_id", *(F.col(f"chain_{k}").alias(f"p_{k}") for k in CATEGORIES), _toxic().cast("int").alias("toxic"))
 
-    def scored(rows: pa.RecordBatch) -> dict:
-        texts = rows.column("chain_text").to_pylist()
-        made = predict(chain, texts) if chain is not None and texts else np.zeros((len(texts), len(CATEGORIES)))
-        return {name: rows.column(name) for name in carried} | {f"chain_{k}": made[:, i] for i, k in enumerate(CATEGORIES)}
-
-    schema = ", ".join([*(f"`{name}` {kinds[name]}" for name in carried), *(f"chain_{k} double" for k in CATEGORIES)])
-    out = map_texts(docs.select(*carried, F.col(text_col).alias("chain_text")), scored, schema, "chain_text")
-    toxic = (F.greatest(*(f"chain_{k}" for k in CATEGORIES)) >= 0.5).cast("int")
-    if keep is not None:
-        return out.withColumn("chain_decision", toxic)
-    return out.select(F.col(id_col).alias("doc_id"), *(F.col(f"chain_{k}").alias(f"p_{k}") for k in CATEGORIES), toxic.alias("toxic"))
+
+def keep_clean(docs: DataFrame, chain: Chain | None, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't toxic, with all their columns."""
+    out = _scored(hidden(docs), chain, f"kept_{docs.columns.index(text_col)}")
+    return out.filter(~_toxic()).drop(*(f"chain_{k}" for k in CATEGORIES)).toDF(*docs.columns)
