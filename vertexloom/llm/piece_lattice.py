@@ -28,6 +28,8 @@ NBEST = 4
 #: Words of up to so many characters go through the batch; longer ones are segmented one by one.
 BATCH_LENGTH = 24
 BATCH_WORDS = 20_000
+#: Words that a worker keeps segmented.
+KEPT_WORDS = 400_000
 UNKNOWN_PENALTY = 10.0
 _PRIME = np.uint64(0x100000001B3)
 
@@ -55,6 +57,7 @@ class Vocabulary:
         self.keys, self.key_scores = keys[order], np.array(list(self.score.values()))[order]
         back_bytes = {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw = [back_bytes.get(i) or name.encode() for i, name in enumerate(self.names)]
+        self.known = KnownWords()
         self.lines = any("\n" in p for p in self.id)
 
     @staticmethod
@@ -80,6 +83,30 @@ class Vocabulary:
         return [self.bytes.get(b, self.unknown_id) for b in piece.encode()]
 
 
+class KnownWords:
+    """Words segmented before: best score, loss by the second best, and the best ids in one flat array. Forgets all when there are too many."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.words: list[str] = []
+        self.score, self.loss, self.lengths, self.begin, self.flat = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.searched: dict[int, list] = {}
+
+    def add(self, v: Vocabulary, words: set[str]) -> None:
+        """Segments those of ``words`` that are new. All of ``words`` are known afterwards."""
+        new = sorted(words.difference(self.index))
+        if len(self.words) + len(new) > KEPT_WORDS:
+            self.__init__()
+            new = sorted(words)
+        score, loss, ids = segment_words(v, new)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.index.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        self.words += new
+        self.begin = np.append(self.begin, np.cumsum(lengths) - lengths + len(self.flat))
+        self.score, self.loss, self.lengths = np.append(self.score, score), np.append(self.loss, loss), np.append(self.lengths, lengths)
+        self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), "<u4", int(lengths.sum())))
+
+
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -204,16 +231,9 @@ def words_of(v: Vocabulary, text: str) -> list[str]:
 def encode_batch(v: Vocabulary, texts: list[str], n: int = NBEST) -> list[list[tuple[float, np.ndarray]]]:
     """For each text its ``n`` best segmentations, or all if there are fewer, as (score, ids), best first."""
     parts = [words_of(v, t) for t in texts]
-    index: dict[str, int] = {}
-    for p in parts:
-        for w in p:
-            index.setdefault(w, len(index))
-    words = list(index)
-    score, loss, ids = segment_words(v, words)
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), "<u4", lengths.sum())
-    begin = np.cumsum(lengths) - lengths
-    searched: dict[int, list] = {}
+    known = v.known
+    known.add(v, set().union(*parts))
+    index, score, loss, lengths, begin, flat, words, searched = known.index, known.score, known.loss, known.lengths, known.begin, known.flat, known.words, known.searched
     out = []
     for p in parts:
         rows = np.fromiter(map(index.__getitem__, p), np.int64, len(p))
