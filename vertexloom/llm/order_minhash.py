@@ -74,13 +74,13 @@ def sketches(sorted_: Column, marks: Column) -> Column:
         a, b = F.get(sorted_, (mark - j) % n), F.get(sorted_, (mark - j + 1) % n)
         swap = _place_of(a) > _place_of(b)
         low, high = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-        return F.xxhash64(_hash_of(low), _hash_of(high)).bitwiseAND(F.lit(0xFFFFFFFF)).cast("long")
+        return F.xxhash64(_hash_of(low), _hash_of(high)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
     return F.transform(marks, pair)
 
 
 def add_signature(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """``df`` with the array column ``name``: the text's signature of ``SKETCHES`` longs below 2**32. A null text counts as empty; an empty one has a signature too.
+    """``df`` with the array column ``name``: the text's signature of ``SKETCHES`` integers below 2**31. A null text counts as empty; an empty one has a signature too.
 
     Every step is a column of its own, for what a lambda refers to is computed anew for each entry unless it is a column.
     """
@@ -130,17 +130,19 @@ def edited_pairs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     null id follows nothing and is next to nothing: its row is edited with an empty text and compared with an empty one.
     Whole texts are shuffled once, and the parts of them that edit others once.
     """
-    docs = add_signature(df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), F.col("text"), "signature")
-    docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    none = -(1 << 63)  # stands for a null id, so that both joins below read one exchange: neither filters nulls
+    whole = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = add_signature(whole, F.col("text"), "signature")
     ids = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.floor(F.char_length(F.coalesce(F.col(text_col), F.lit(""))) / 2).alias("half"))
     ids = ids.groupBy("id").agg(F.max("half").alias("half"))
     chain = following(ids.select("id"))
     least = ids.agg(F.min("id").alias("least"))
-    ring = chain.join(ids, "id").join(F.broadcast(least), F.col("next_id").isNull(), "left").select(F.coalesce("next_id", "least").alias("at"), F.col("id").alias("for_id"), "half")
-    parts = docs.join(ring, F.col("doc_id") == F.col("at")).select("for_id", F.struct(F.xxhash64("text").alias("h"), F.expr("substring(text, 1, int(half))").alias("part"), F.col("signature").alias("next_signature")).alias("p"))
+    ring = chain.join(ids, "id").join(F.broadcast(least), F.col("next_id").isNull(), "left")
+    ring = ring.select(F.coalesce("next_id", "least", F.lit(none)).alias("at"), F.col("id").alias("for_id"), "half")
+    parts = docs.join(ring.hint("merge"), F.col("key") == F.col("at")).select("for_id", F.struct(F.xxhash64("text").alias("h"), F.expr("substring(text, 1, int(half))").alias("part"), F.col("signature").alias("next_signature")).alias("p"))
     parts = parts.groupBy("for_id").agg(F.min("p").alias("p"))
     empty = add_signature(df.sparkSession.range(1), F.lit(""), "s").first()["s"]
-    joined = docs.join(parts, F.col("doc_id") == F.col("for_id"), "left")
+    joined = docs.join(parts.hint("merge"), F.col("key") == F.col("for_id"), "left").withColumn("n_chars", F.char_length("text").cast("long"))
     kept = F.expr("substring(text, 1, int(n_chars - floor(n_chars / 2)))")
     taken = F.expr("substring(p.part, 1, int(floor(n_chars / 2)))")
-    return joined.select("doc_id", "n_chars", "text", F.concat(kept, F.coalesce(taken, F.lit(""))).alias("edited"), "signature", F.coalesce(F.col("p.next_signature"), F.array(*map(F.lit, empty))).alias("next_signature"))
+    return joined.select(F.nullif("key", F.lit(none)).alias("doc_id"), "n_chars", "text", F.concat(kept, F.coalesce(taken, F.lit(""))).alias("edited"), "signature", F.coalesce(F.col("p.next_signature"), F.array(*map(F.lit, empty))).alias("next_signature"))
