@@ -29,7 +29,7 @@ def ranked(ids: DataFrame, key: str, out: str, block: int = BLOCK) -> DataFrame:
 def with_next(df: DataFrame, block: Column, order: list[str], value: str, out: str) -> DataFrame:
     """``df`` and ``out``: ``value`` of the next row by ``order``, null for the last. ``block`` must rise with the order."""
     blocked = df.withColumn("_block", block)
-    heads = blocked.groupBy("_block").agg(F.min(F.struct(*order, value)).alias("_head"))
-    after = heads.select("_block", F.lead(f"_head.{value}").over(Window.orderBy("_block")).alias("_after"))
+    heads = blocked.groupBy("_block").agg(F.min(F.struct(*order, F.col(value).alias("_value"))).alias("_head"))
+    after = heads.select("_block", F.lead("_head._value").over(Window.orderBy("_block")).alias("_after"))
     inner = blocked.withColumn("_inner", F.lead(value).over(Window.partitionBy("_block").orderBy(*order)))
     return inner.join(after, "_block").withColumn(out, F.coalesce("_inner", "_after")).drop("_block", "_inner", "_after")
