@@ -27,7 +27,7 @@ SPACE = "▁"
 NBEST = 4
 #: Words of up to so many characters go through the batch; longer ones are segmented one by one.
 BATCH_LENGTH = 24
-BATCH_WORDS = 20_000
+BATCH_WORDS = 8192
 #: Words that a worker keeps segmented.
 KEPT_WORDS = 400_000
 UNKNOWN_PENALTY = 10.0
@@ -54,7 +54,7 @@ class Vocabulary:
             raise ValueError(f"pieces cross words: {crossing[:3]}")
         keys = np.array([self._key(p) for p in self.id], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.key_scores = keys[order], np.array(list(self.score.values()))[order]
+        self.keys, self.key_scores, self.key_ids = keys[order], np.array(list(self.score.values()))[order], np.array(ids)[order].astype(np.int32)
         back_bytes = {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw = [back_bytes.get(i) or name.encode() for i, name in enumerate(self.names)]
         self.known = KnownWords()
@@ -98,13 +98,12 @@ class KnownWords:
         if len(self.words) + len(new) > KEPT_WORDS:
             self.__init__()
             new = sorted(words)
-        score, loss, ids = segment_words(v, new)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        score, loss, lengths, begin, flat = segment_words(v, new)
         self.index.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
         self.words += new
-        self.begin = np.append(self.begin, np.cumsum(lengths) - lengths + len(self.flat))
+        self.begin = np.append(self.begin, begin + len(self.flat))
         self.score, self.loss, self.lengths = np.append(self.score, score), np.append(self.loss, loss), np.append(self.lengths, lengths)
-        self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), "<u4", int(lengths.sum())))
+        self.flat = np.append(self.flat, flat)
 
 
 @functools.cache
@@ -154,67 +153,76 @@ def second_loss(v: Vocabulary, word: str) -> float:
     return two[0][0] - two[1][0] if len(two) > 1 else np.inf
 
 
-def viterbi_batch(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """Best scores, losses by the second best, and ids of the best, for words of one length."""
+def viterbi_batch(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For words of one length: best scores, losses by the second best, numbers of the best one's ids, and these ids in one array."""
     n, count = len(words[0]), len(words)
     points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(count, n).astype(np.uint64) + np.uint64(1)
     scores: dict[tuple[int, int], np.ndarray] = {}
+    piece = np.full((n, n + 1, count), -1, np.int32)
     for start in range(n):
         key = np.zeros(count, np.uint64)
         for end in range(start + 1, min(n, start + v.longest) + 1):
             key = key * _PRIME + points[:, end - 1]
             at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            scores[start, end] = np.where(v.keys[at] == key, v.key_scores[at], v.unknown if end == start + 1 else -np.inf)
+            known = v.keys[at] == key
+            if known.any() or end == start + 1:
+                scores[start, end] = np.where(known, v.key_scores[at], v.unknown if end == start + 1 else -np.inf)
+                piece[start, end] = np.where(known, v.key_ids[at], -1)
     ahead, back = np.full((n + 1, count), -np.inf), np.zeros((n + 1, count), np.int64)
     ahead[0] = 0
-    for end in range(1, n + 1):
-        for start in range(max(0, end - v.longest), end):
-            total = ahead[start] + scores[start, end]
-            better = total > ahead[end]
-            ahead[end][better], back[end][better] = total[better], start
     behind = np.full((n + 1, count), -np.inf)
     behind[n] = 0
-    for start in reversed(range(n)):
-        for end in range(start + 1, min(n, start + v.longest) + 1):
-            np.maximum(behind[start], scores[start, end] + behind[end], out=behind[start])
-    place, ends = np.full(count, n), np.zeros((n + 1, count), bool)
-    starts_of = np.full((n + 1, count), -1)
-    while (place > 0).any():
-        rows = np.flatnonzero(place)
-        ends[place[rows], rows] = True
-        starts_of[place[rows], rows] = back[place[rows], rows]
-        place[rows] = back[place[rows], rows]
+    for start, end in sorted(scores, key=lambda edge: (edge[1], edge[0])):
+        total = ahead[start] + scores[start, end]
+        better = total > ahead[end]
+        ahead[end][better], back[end][better] = total[better], start
+    for start, end in sorted(scores, reverse=True):
+        np.maximum(behind[start], scores[start, end] + behind[end], out=behind[start])
+    place, every = np.full(count, n), np.arange(count)
+    start_of, id_of = np.full((n + 1, count), -1), np.full((n + 1, count), -2, np.int32)
+    rows = every
+    while len(rows):
+        end = place[rows]
+        start = back[end, rows]
+        start_of[end, rows], id_of[end, rows] = start, piece[start, end, rows]
+        place[rows] = start
+        rows = rows[start > 0]
     loss = np.full(count, np.inf)
     for (start, end), score in scores.items():
-        np.minimum(loss, np.where(starts_of[end] == start, np.inf, ahead[n] - (ahead[start] + score + behind[end])), out=loss)
-    places = [np.flatnonzero(ends[:, i]).tolist() for i in range(count)]
-    return ahead[n], np.maximum(loss, 0), [cuts_to_ids(v, w, tuple(p)) for w, p in zip(words, places, strict=True)]
-
-
-def segment_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """``viterbi_batch`` for words of all lengths, which it sorts into batches."""
-    score, loss, ids = np.zeros(len(words)), np.zeros(len(words)), [[]] * len(words)
+        np.minimum(loss, np.where(start_of[end] == start, np.inf, ahead[n] - (ahead[start] + score + behind[end])), out=loss)
+    spelled = (id_of == -1).any(axis=0)
+    taken = (id_of >= 0).T
+    if not spelled.any():
+        return ahead[n], np.maximum(loss, 0), taken.sum(axis=1), id_of.T[taken]
+    parts = [cuts_to_ids(v, words[i], tuple(np.flatnonzero(start_of[:, i] >= 0).tolist())) if spelled[i] else id_of[:, i][taken[i]] for i in range(count)]
+    return ahead[n], np.maximum(loss, 0), np.array([len(p) for p in parts]), np.concatenate(parts)
+
+
+def segment_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best scores, losses, numbers of ids and where they begin in the array of all ids, for words of any length."""
+    score, loss, lengths, begin = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    flat, total = [np.zeros(0, "<u4")], 0
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
     for length, rows in groups.items():
-        if length > BATCH_LENGTH:
-            for i in rows:
-                best, back = forward(v, words[i])
+        for k in range(0, len(rows), BATCH_WORDS if length <= BATCH_LENGTH else 1):
+            part = rows[k : k + (BATCH_WORDS if length <= BATCH_LENGTH else 1)]
+            if length <= BATCH_LENGTH:
+                score[part], loss[part], sizes, ids = viterbi_batch(v, [words[i] for i in part])
+            else:
+                word = words[part[0]]
+                best, back = forward(v, word)
                 cuts, at = [], length
                 while at:
                     cuts.append(at)
                     at = back[at]
-                score[i], ids[i] = best[-1], cuts_to_ids(v, words[i], tuple(reversed(cuts)))
-                loss[i] = second_loss(v, words[i])
-            continue
-        for k in range(0, len(rows), BATCH_WORDS):
-            part = rows[k : k + BATCH_WORDS]
-            a, b, c = viterbi_batch(v, [words[i] for i in part])
-            score[part], loss[part] = a, b
-            for i, x in zip(part, c, strict=True):
-                ids[i] = x
-    return score, loss, ids
+                ids = np.array(cuts_to_ids(v, word, tuple(reversed(cuts))))
+                score[part], loss[part], sizes = best[-1], second_loss(v, word), np.array([len(ids)])
+            lengths[part], begin[part] = sizes, total + np.cumsum(sizes) - sizes
+            flat.append(ids.astype("<u4"))
+            total += len(ids)
+    return score, loss, lengths, begin, np.concatenate(flat)
 
 
 WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+[^{SPACE}\n]*|[^{SPACE}\n]+")
