@@ -84,7 +84,7 @@ def tokens(page: str) -> list[tuple[str, str, frozenset[str]]]:
         if not closing and tag in ENDS:
             end = ENDS[tag].search(page, at)
             at = end.end() if end else n
-            out.append(("block" if tag not in INLINE else "inline", "", around))
+            out.append(("inline", "", around))
             continue
         if closing:
             depth = next((i for i in reversed(range(len(stack))) if stack[i][0] == tag), None)
