@@ -143,9 +143,12 @@ def battery(tokens: Column) -> Column:
 def discoveries(rows: DataFrame, share: float = FALSE_SHARE):
     """A column function of (chance, n): whether the string is a discovery among all strings in ``rows.tests``.
 
-    The driver gets one row with the sum of weights, then a row for each bin of chances, ``BINS`` at most.
+    The strings' chances, which are few, go to the shared folder. The driver gets one row with the sum of weights, then a row for
+    each bin of chances, ``BINS`` at most.
     """
-    tests = rows.select(F.explode("tests").alias("t")).select("t.chance", F.sqrt("t.n").alias("weight"))
+    # Not explode() or a filter on the arrays: the optimizer would copy their whole expressions below, lambdas within lambdas.
+    tests = rows.select(F.explode_outer("tests").alias("t")).filter(F.col("t").isNotNull())
+    tests = cut(tests.select("t.chance", F.sqrt("t.n").alias("weight")))
     total = tests.agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).first()
     if not total.n:
         return lambda chance, n: F.lit(False)
@@ -177,13 +180,13 @@ def _with_tests(df: DataFrame) -> DataFrame:
 def scan(df: DataFrame, *, text_col: str = "text", share: float = FALSE_SHARE) -> DataFrame:
     """All columns of ``df`` and ``secret_spans``, structs of (start, kind_order, end, kind) in order: base spans, and discoveries that meet none of them.
 
-    The table is read twice, first for the chances of all strings, which are few and go to the shared folder. A null text counts
+    The table is read twice, first for the chances of all strings. A null text counts
     as empty and has no spans. Repeated rows have equal spans; an empty table gives no rows. A column that is called
     ``secret_spans`` already is replaced; other names can't clash.
     """
     df = df.drop("secret_spans")
     text = F.coalesce(F.col(text_col), F.lit("")).alias("scanned")
-    held = discoveries(cut(_with_tests(df.select(text)).filter(F.size("tests") > 0).select("tests")), share)
+    held = discoveries(_with_tests(df.select(text)), share)
     kept = hidden(df)
     scanned = F.coalesce(F.col(f"kept_{df.columns.index(text_col)}"), F.lit("")).alias("scanned")
     marked = _with_tests(kept.select(*kept.columns, scanned))
