@@ -136,9 +136,8 @@ def edited_pairs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ids = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.floor(F.char_length(F.coalesce(F.col(text_col), F.lit(""))) / 2).alias("half"))
     ids = ids.groupBy("id").agg(F.max("half").alias("half"))
     chain = following(ids.select("id"))
-    least = ids.agg(F.min("id").alias("least"))
-    ring = chain.join(ids, "id").join(F.broadcast(least), F.col("next_id").isNull(), "left")
-    ring = ring.select(F.coalesce("next_id", "least", F.lit(none)).alias("at"), F.col("id").alias("for_id"), "half")
+    least = df.agg(F.min(F.col(id_col).cast("long")).alias("least")).first().least
+    ring = chain.join(ids, "id").select(F.coalesce("next_id", F.lit(none if least is None else least)).alias("at"), F.col("id").alias("for_id"), "half")
     parts = docs.join(ring.hint("merge"), F.col("key") == F.col("at")).select("for_id", F.struct(F.xxhash64("text").alias("h"), F.expr("substring(text, 1, int(half))").alias("part"), F.col("signature").alias("next_signature")).alias("p"))
     parts = parts.groupBy("for_id").agg(F.min("p").alias("p"))
     empty = add_signature(df.sparkSession.range(1), F.lit(""), "s").first()["s"]
