@@ -6,9 +6,10 @@ probability Jaccard similarity of their weighted shingles. Arrivals later than t
 processes end early.
 
 Six registers form a band, and two neighbouring bands a longer one. Texts that agree in a band are candidates: each is
-compared with the band's least id, not with every other. Candidates are verified on their whole weighted shingle sets; links
-make connected components. Where members of a band's bucket are still in different components, those not in the first one's
-are compared with the least of themselves, for some rounds.
+compared with the bucket's head, not with every other. The head is the member that meets most others in all its buckets, the
+least id of equals: an original before its altered copies. Candidates are verified on their whole weighted shingle sets; links
+make connected components. Where members of a bucket are still in different components, those that aren't in the head's get a
+head of their own, round after round, until a round finds no link.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ SIMILARITY = 0.8
 #: A link of similarity 0.8 shares a short band with a chance of 0.99994: 1 - (1 - 0.8 ** 6) ** 32.
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-ROUNDS = 3
 #: Words whose hashes a worker keeps.
 CACHE = 400_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -175,28 +175,26 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     copies = cut(keyed.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("same", "rep"))
     members = cut(keyed.join(copies, "same", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.when(F.col("id") == F.coalesce("rep", "id"), F.col("bands")).alias("bands")))
     rows = members.select("id", F.explode("bands").alias("band")).filter(F.col("id").isNotNull())
-    shared = cut(rows.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head <> last").select("band", "head"))
-    active = cut(rows.join(shared, "band").select("band", "id", "head"))
-    edges = components_ = texts = None
-    for round_ in range(ROUNDS):
-        pairs = cut(active.filter("id <> head").select("id", "head").distinct())
-        if pairs.isEmpty():
-            break
-        if texts is None:
-            wanted = active.select("id").distinct()
-            texts = cut(source.filter(F.col("id").isNotNull()).join(wanted, "id").select("id", "text"))
-        links = verified(pairs, texts, similarity)
-        edges = cut(links if edges is None else edges.unionAll(links))
-        components_ = components(edges)
-        if round_ == ROUNDS - 1:
-            break
-        of = lambda c, name: components_.select(F.col("id").alias(c), F.col("component").alias(name))
-        left = active.join(of("id", "own"), "id", "left").join(of("head", "heads"), "head", "left")
-        left = left.filter(F.coalesce("own", "id") != F.coalesce("heads", "head")).select("band", "id", F.coalesce("own", "id").alias("own"))
-        left = cut(left)
-        again = cut(left.groupBy("band").agg(F.min("id").alias("head"), F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("band", "head"))
-        active = cut(left.join(again, "band").select("band", "id", "head"))
-    if components_ is None:
+    shared = cut(rows.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("met")).filter("low <> high").select("band", "met"))
+    active = cut(rows.join(shared, "band").select("band", "id", "met"))
+    fame = active.groupBy("id").agg((-F.sum("met")).alias("order"))
+    active = cut(active.join(fame, "id").select("band", "id", "order"))
+    if active.isEmpty():
         return members.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"))
-    found = components_.select(F.col("id").alias("rep"), "component")
+    texts = cut(source.filter(F.col("id").isNotNull()).join(active.select("id").distinct(), "id").select("id", "text"))
+    labels = cut(active.select("id", F.col("id").alias("component")).distinct())
+    own = lambda c, name: labels.select(F.col("id").alias(c), F.col("component").alias(name))
+    while True:
+        heads = cut(active.groupBy("band").agg(F.min(F.struct("order", "id")).alias("h")).select("band", F.col("h.id").alias("head")))
+        led = active.join(heads, "band").join(own("id", "own"), "id").join(own("head", "heads"), "head").filter("own <> heads")
+        led = cut(led.select("band", "id", "order", "head", "own", "heads"))
+        links = cut(verified(led.select("id", "head").distinct(), texts, similarity))
+        if links.isEmpty():
+            break
+        merged = components(links.join(own("a", "x"), "a").join(own("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        moved = merged.select(F.col("id").alias("component"), F.col("component").alias("to"))
+        labels = cut(labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+        apart = led.select("band", "id", "order", "head").join(own("id", "own"), "id").join(own("head", "heads"), "head").filter("own <> heads")
+        active = cut(apart.select("band", "id", "order"))
+    found = labels.select(F.col("id").alias("rep"), "component")
     return members.join(found, "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("class_id"))
