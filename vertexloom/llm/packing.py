@@ -38,13 +38,18 @@ def encoder(json_path: str, rank_path: str | None):
     time; texts that hold a special token's string, which only ``tokenizers`` knows, still go there, as does what the other
     library can't take.
     """
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
-    by_book = lambda text: slow.encode(text, add_special_tokens=False).ids
+    @functools.cache
+    def slow():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(json_path)
+
+    by_book = lambda text: slow().encode(text, add_special_tokens=False).ids
     if rank_path is None:
         return by_book
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
@@ -52,7 +57,8 @@ def encoder(json_path: str, rank_path: str | None):
     with open(rank_path, "rb") as lines:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    special = [token.content for token in slow.get_added_tokens_decoder().values()]
+    with open(json_path) as book:
+        special = [token["content"] for token in json.load(book)["added_tokens"]]
 
     def encode(text: str) -> list[int]:
         if any(token in text for token in special):
