@@ -48,3 +48,5 @@ def test_binary(spark, tmp_path):
     edges = binary.read_edges(spark, str(tmp_path / "e.bin"))
     assert {(r.src, r.dst, r.norm) for r in edges.collect()} == {(0, 1, 0.5), (4_000_000_000, 2, 0.25)}
     assert binary.vertex_count(edges) == 4_000_000_001
+    binary.write_edges(edges.select("src", "dst", edges.norm.alias("w")), str(tmp_path / "again.bin"))
+    assert sorted((tmp_path / "again.bin").read_bytes()) == sorted(rows.tobytes())

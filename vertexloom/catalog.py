@@ -408,7 +408,7 @@ def _weights_table(s: SparkSession, w: np.ndarray, digits: int = 6) -> DataFrame
 def _dense(s, d) -> np.ndarray:
     from vertexloom.plans.train import dense
 
-    return dense(_gradient(s, d), (FEATURES, CLASSES))
+    return dense({0: _gradient(s, d)}, {0: np.zeros((FEATURES, CLASSES))})[0]
 
 
 @query(f"{_GRAD} SELECT k, j, round(g,6)+0.0 AS g FROM gw")

@@ -14,6 +14,7 @@ one step after another, and make no claim to any other order.
 from __future__ import annotations
 
 import dataclasses
+import functools
 import time
 from collections.abc import Callable
 
@@ -99,11 +100,12 @@ def backward(plan: list[Operator], edges: DataFrame, made: dict[int, DataFrame],
     return out
 
 
-def dense(gradient: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """The matrix of a ``k, j, g`` table, whose size is that of the weight."""
-    out = np.zeros(shape)
-    for r in gradient.collect():
-        out[r.k, r.j] = r.g
+def dense(gradients: dict[int, DataFrame], weights: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The matrices of all ``k, j, g`` tables, from one job; their size is that of the weights."""
+    tables = [g.select(F.lit(w).alias("w"), "k", "j", "g") for w, g in gradients.items()]
+    out = {w: np.zeros(weights[w].shape) for w in gradients}
+    for r in functools.reduce(DataFrame.unionAll, tables).collect() if tables else []:
+        out[r.w][r.k, r.j] = r.g
     return out
 
 
@@ -143,7 +145,7 @@ def train(model: Model, edges: DataFrame, features: DataFrame, labels: DataFrame
                 made = forward(plan, edges, features, weights, keep)
                 start = X.row_gradient(gradient_of(L.paired(made[model.output.op], labels), below), equal_chunk(F.col("v"), n, chunks) == c)
                 used = weights
-            found = {w: dense(g, weights[w].shape) for w, g in backward(plan, edges, made, used, start, keep).items()}
+            found = dense(backward(plan, edges, made, used, start, keep), weights)
             for w, g in found.items():
                 weights[w] = optimizer.step(str(w), weights[w], clipped(g, CLIP) if update == "last_chunk" else g)
         stash = [*stash, dict(weights)][-(staleness + 1) :]
