@@ -238,6 +238,11 @@ def words_of(v: Vocabulary, text: str) -> list[str]:
 
 def encode_batch(v: Vocabulary, texts: list[str], n: int = NBEST) -> list[list[tuple[float, np.ndarray]]]:
     """For each text its ``n`` best segmentations, or all if there are fewer, as (score, ids), best first."""
+    return [[(score, ids) for score, ids, _ in ways] for ways in encode_with_changes(v, texts, n)]
+
+
+def encode_with_changes(v: Vocabulary, texts: list[str], n: int = NBEST) -> list[list[tuple[float, np.ndarray, list[tuple[str, np.ndarray]]]]]:
+    """As ``encode_batch``, each way with the words, and their ids, in which it differs from the best."""
     parts = [words_of(v, t) for t in texts]
     known = v.known
     known.add(v, set().union(*parts))
@@ -262,20 +267,24 @@ def encode_batch(v: Vocabulary, texts: list[str], n: int = NBEST) -> list[list[t
             sums = heapq.nsmallest(n, ((lost + ways[0][0] - s, (*changes, (at, k)) if k else changes) for lost, changes in sums for k, (s, _) in enumerate(ways)), key=lambda x: x[0])
         made = []
         for lost, changes in sums:
-            pieces, last = [], 0
+            pieces, last, changed = [], 0, []
             for at, k in sorted(changes):
                 w = int(rows[at])
-                pieces += [best[last : ends[at] - size[at]], np.array(cuts_to_ids(v, words[w], searched[w][k][1]), "<u4")]
+                changed.append((words[w], np.array(cuts_to_ids(v, words[w], searched[w][k][1]), "<u4")))
+                pieces += [best[last : ends[at] - size[at]], changed[-1][1]]
                 last = ends[at]
-            made.append((base - lost, np.concatenate([*pieces, best[last:]]) if changes else best))
+            made.append((base - lost, np.concatenate([*pieces, best[last:]]) if changes else best, changed))
         out.append(made)
     return out
 
 
+def spelled(v: Vocabulary, ids) -> bytes:
+    return b"".join(map(v.raw.__getitem__, np.asarray(ids).tolist()))
+
+
 def decode(v: Vocabulary, ids) -> str:
     """The text of the ids: bytes put together, marks made spaces, and the space in front taken off."""
-    raw = b"".join(map(v.raw.__getitem__, np.asarray(ids).tolist()))
-    text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+    text = spelled(v, ids).decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -291,9 +300,12 @@ def encode(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
         v = vocabulary(model_path)
         texts = [t or "" for t in rows.column("text").to_pylist()]
         out: dict[str, list] = {k: [] for k in ("doc_id", "rank", "score", "n_pieces", "ids_crc32", "round_trip", "ids")}
-        for doc, text, ways in zip(rows.column("doc_id").to_pylist(), texts, encode_batch(v, texts, n), strict=True):
-            for rank, (score, ids) in enumerate(ways, 1):
-                values = (doc, rank, score, len(ids), zlib.crc32(ids.tobytes()), decode(v, ids) == text, ids.astype("i4") if with_ids else None)
+        for doc, text, ways in zip(rows.column("doc_id").to_pylist(), texts, encode_with_changes(v, texts, n), strict=True):
+            best = decode(v, ways[0][1]) == text
+            for rank, (score, ids, changed) in enumerate(ways, 1):
+                # Bytes are put together piece by piece, so a way spells the text if the best does and the changed words spell the same.
+                same = best and all(spelled(v, x) == w.encode() for w, x in changed)
+                values = (doc, rank, score, len(ids), zlib.crc32(ids), same, ids.astype("i4") if with_ids else None)
                 for k, value in zip(out, values, strict=True):
                     out[k].append(value)
         return out
