@@ -124,13 +124,14 @@ def train(model: Model, edges: DataFrame, features: DataFrame, labels: DataFrame
         kept.append(d.persist(StorageLevel.MEMORY_AND_DISK))
         return kept[-1]
 
-    edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
+    # Kept by either end, so that only activations and gradients, not edges, are shuffled in an epoch.
+    by_src, by_dst = (edges.repartition(end).persist(StorageLevel.MEMORY_AND_DISK) for end in ("src", "dst"))
     n = features.count()
     below = vertices or n
     metrics, stash = [], [dict(weights)]
     for epoch in range(epochs):
         began = time.perf_counter()
-        made = forward(plan, edges, features, weights, keep)
+        made = forward(plan, by_src, features, weights, keep)
         pairs = L.paired(made[model.output.op], labels)
         row = pairs.agg((F.sum(each()) / float(below)).alias("loss"), F.avg(F.when(L.hit(), 1.0).otherwise(0.0)).alias("accuracy")).first()
         if scheduler is not None:
@@ -142,10 +143,10 @@ def train(model: Model, edges: DataFrame, features: DataFrame, labels: DataFrame
             if update == "last_chunk" and c < chunks - 1:
                 continue
             if update == "chunk" and c:
-                made = forward(plan, edges, features, weights, keep)
+                made = forward(plan, by_src, features, weights, keep)
                 start = X.row_gradient(gradient_of(L.paired(made[model.output.op], labels), below), equal_chunk(F.col("v"), n, chunks) == c)
                 used = weights
-            found = dense(backward(plan, edges, made, used, start, keep), weights)
+            found = dense(backward(plan, by_dst, made, used, start, keep), weights)
             for w, g in found.items():
                 weights[w] = optimizer.step(str(w), weights[w], clipped(g, CLIP) if update == "last_chunk" else g)
         stash = [*stash, dict(weights)][-(staleness + 1) :]
@@ -153,5 +154,6 @@ def train(model: Model, edges: DataFrame, features: DataFrame, labels: DataFrame
             d.unpersist()
         kept.clear()
         metrics.append((epoch, float(row.loss), float(row.accuracy), time.perf_counter() - began))
-    edges.unpersist()
+    by_src.unpersist()
+    by_dst.unpersist()
     return Run(weights, metrics)
