@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -12,6 +13,10 @@ def changed(text, every):
     return " ".join("zzz" if i % every == every - 1 else w for i, w in enumerate(text.split()))
 
 
+def edited(words, places, tag):
+    return [f"{tag}{i}" if i in places else w for i, w in enumerate(words)]
+
+
 def plain_classes(texts):
     """Union of all pairs that are similar enough, by comparing every two texts."""
     parent = {i: i for i in texts}
@@ -91,3 +96,19 @@ def test_odd_texts(odd, none):
     rows = P.near_duplicates(odd).collect()
     got = {r.doc_id: r.class_id for r in rows}
     assert len(rows) == odd.count() and got[0] == got[1] == 0 and got[4] == got[5] == 4 and got[3] == 3 and P.near_duplicates(none).count() == 0
+
+
+def test_a_link_whose_buckets_all_have_other_heads(spark):
+    r, base = random.Random(1025), prose(1025, 300).split()
+    pick = lambda k: r.sample(range(3, 297, 6), k)
+    texts = {i: " ".join(edited(base, pick(5), f"m{i}w")) for i in range(30)}
+    x = edited(base, pick(3), "x")
+    texts |= {90: " ".join(x), 91: " ".join(edited(x, pick(6), "y"))}
+    got = {r.doc_id: r.class_id for r in P.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain_classes(texts) and got[91] == 90
+
+
+def test_tiles_find_every_link_however_small(spark, monkeypatch):
+    for name, size in (("TILE", 2), ("PAIRED", 3), ("ASKED", 1)):
+        monkeypatch.setattr(P, name, size)
+    test_a_link_whose_buckets_all_have_other_heads(spark)

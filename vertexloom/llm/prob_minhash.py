@@ -9,7 +9,8 @@ Six registers form a band, and two neighbouring bands a longer one. Texts that a
 compared with the bucket's head, not with every other. The head is the member that meets most others in all its buckets, the
 least id of equals: an original before its altered copies. Candidates are verified on their whole weighted shingle sets; links
 make connected components. Where members of a bucket are still in different components, those that aren't in the head's get a
-head of their own, round after round, until a round finds no link.
+head of their own, round after round, until a round finds no link. Then every pair that shares a short band and is still in
+different components is compared, so no bucket ends with a pair untried: heads only save comparisons.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SIMILARITY = 0.8
 #: A link of similarity 0.8 shares a short band with a chance of 0.99994: 1 - (1 - 0.8 ** 6) ** 32.
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
+#: Members of a component that a left-over is compared with in one place, members of a bucket that are paired at once, and left-overs in one place.
+TILE, PAIRED, ASKED = 64, 512, 1024
 #: Words whose hashes a worker keeps.
 CACHE = 400_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -110,12 +113,13 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """A hash for each band, then for each band together with the next."""
+    """A hash for each band, then for each band together with the next. The first are even, the others odd."""
     short = np.zeros(BANDS, np.uint64)
     for j in range(ROWS):
         short = _mix(short * np.uint64(0x100000001B3) + sig.reshape(BANDS, ROWS)[:, j])
     short = _mix(short + np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLDEN)
-    return np.concatenate([short, _mix(short * np.uint64(0x100000001B3) + np.roll(short, -1))]).view(np.int64)
+    wide = _mix(short * np.uint64(0x100000001B3) + np.roll(short, -1))
+    return np.concatenate([short & ~np.uint64(1), wide | np.uint64(1)]).view(np.int64)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -154,6 +158,53 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return map_texts(joined, compared, "a bigint, b bigint", "text_a")
 
 
+def pairs_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of the ids in ``members`` (``band, id``) that share a short band and differ in component, each once.
+
+    ``id, other, others, reach``: ``other`` is the one in the larger component, ``others``, which has ``reach`` ids. Wide bands add no pairs.
+    """
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    named = members.filter("band % 2 = 0").join(labels.join(sizes, "component"), "id").select("band", "id", "component", "size")
+    mixed = named.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    rows = cut(named.join(mixed, "band").select("band", "id", "component", "size", F.ceil(F.col("n") / PAIRED).cast("int").alias("parts")))
+    one = rows.select("band", F.pmod(F.hash("id"), "parts").alias("part"), "id", "component", "size")
+    two = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("other"), F.col("component").alias("others"), F.col("size").alias("reach"))
+    return one.join(two, ["band", "part"]).filter("size < reach OR size = reach AND component < others").select("id", "other", "others", "reach").distinct()
+
+
+def verified_apart(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``a, b`` that join what the similar pairs of ``pairs_apart`` join.
+
+    A text goes to each tile of a component that it has pairs with, not to each pair; one link to a tile is enough, as its members are joined.
+    """
+    tile = ["others", "block", "salt"]
+    placed = pairs.withColumn("block", F.pmod(F.hash("other"), F.ceil(F.col("reach") / TILE).cast("int")))
+    asked = cut(placed.groupBy("others", "block", "id").agg(F.collect_list("other").alias("partners")))
+    salts = asked.groupBy("others", "block").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("salts"))
+    asked = asked.join(salts, ["others", "block"]).select("others", "block", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), "id", "partners")
+    held = asked.select(*tile, F.explode("partners").alias("id")).distinct().withColumn("partners", F.lit(None).cast("array<bigint>"))
+    rows = held.unionAll(asked.select(*tile, "id", "partners")).join(texts, "id")
+    rows = rows.withColumn("asks", F.col("partners").isNotNull()).repartition(*tile).sortWithinPartitions(*tile, "asks").select(*tile, "id", "partners", "text")
+    here: dict = {"tile": None, "sets": {}}
+
+    def compared(rows: pa.RecordBatch) -> dict:
+        kept: dict[str, list] = {"a": [], "b": []}
+        for *at, i, partners, text in zip(*(rows.column(c).to_pylist() for c in (*tile, "id", "partners", "text")), strict=True):
+            if at != here["tile"]:
+                here.update(tile=at, sets={})
+            mine = weighted_shingles(text)
+            if partners is None:
+                here["sets"].setdefault(i, []).append(mine)
+                continue
+            link = next((o for o in partners for theirs in here["sets"][o] if probability_jaccard(mine, theirs) >= similarity), None)
+            if link is not None:
+                kept["a"].append(i)
+                kept["b"].append(link)
+        return kept
+
+    return map_texts(rows, compared, "a bigint, b bigint", "text")
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id`` for every row: the least id of the documents that a chain of links of ``similarity`` or equality joins.
 
@@ -183,7 +234,14 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return members.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"))
     texts = cut(source.filter(F.col("id").isNotNull()).join(active.select("id").distinct(), "id").select("id", "text"))
     labels = cut(active.select("id", F.col("id").alias("component")).distinct())
+    everyone = active.select("band", "id")
     own = lambda c, name: labels.select(F.col("id").alias(c), F.col("component").alias(name))
+
+    def joined(links: DataFrame) -> DataFrame:
+        merged = components(links.join(own("a", "x"), "a").join(own("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        moved = merged.select(F.col("id").alias("component"), F.col("component").alias("to"))
+        return cut(labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+
     while True:
         heads = cut(active.groupBy("band").agg(F.min(F.struct("order", "id")).alias("h")).select("band", F.col("h.id").alias("head")))
         led = active.join(heads, "band").join(own("id", "own"), "id").join(own("head", "heads"), "head").filter("own <> heads")
@@ -191,10 +249,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         links = cut(verified(led.select("id", "head").distinct(), texts, similarity))
         if links.isEmpty():
             break
-        merged = components(links.join(own("a", "x"), "a").join(own("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        moved = merged.select(F.col("id").alias("component"), F.col("component").alias("to"))
-        labels = cut(labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+        labels = joined(links)
         apart = led.select("band", "id", "order", "head").join(own("id", "own"), "id").join(own("head", "heads"), "head").filter("own <> heads")
         active = cut(apart.select("band", "id", "order"))
+    links = cut(verified_apart(pairs_apart(everyone, labels), texts, similarity))
+    if not links.isEmpty():
+        labels = joined(links)
     found = labels.select(F.col("id").alias("rep"), "component")
     return members.join(found, "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("class_id"))
