@@ -112,3 +112,16 @@ def test_tiles_find_every_link_however_small(spark, monkeypatch):
     for name, size in (("TILE", 2), ("PAIRED", 3), ("ASKED", 1)):
         monkeypatch.setattr(P, name, size)
     test_a_link_whose_buckets_all_have_other_heads(spark)
+
+
+def test_a_link_to_a_member_of_the_heads_component(spark):
+    """0 heads 1, and 1 is like 2, which isn't like 0."""
+    r, base = random.Random(38), prose(38, 300).split()
+    places = list(range(3, 297, 6))
+    r.shuffle(places)
+    x = edited(base, places[:2], "x")
+    texts = {0: " ".join(base), 1: " ".join(x), 2: " ".join(edited(x, places[20:26], "y"))}
+    like = lambda a, b: P.probability_jaccard(P.weighted_shingles(texts[a]), P.weighted_shingles(texts[b])) >= 0.8
+    assert like(0, 1) and like(1, 2) and not like(0, 2)
+    got = P.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0}
