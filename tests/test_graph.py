@@ -28,6 +28,18 @@ def test_degrees_and_weights(spark):
     assert {r.src for r in G.in_neighbours(g.edges, 1).collect()} == {0, 2} and G.out_neighbours(g.edges, 3).isEmpty()
 
 
+def test_weight_faults_are_found(spark, monkeypatch):
+    g = graph(spark, EDGES, 4)
+    good, first = G.normalised_edges(g), F.struct("src", "dst") == F.struct(*(F.lit(x).cast("long") for x in EDGES[0]))
+    assert G.weight_faults(g, good.filter(~first)).count() == 1
+    assert G.weight_faults(g, good.unionAll(good.limit(1))).count() == 1
+    assert G.weight_faults(g, good.withColumn("w", F.when(~first, F.col("w")))).count() == 1
+    assert G.weight_faults(g, good.withColumn("dst", F.when(first, 99).otherwise(F.col("dst")))).count() == 2
+    wrong = good.withColumn("w", F.col("w") * 2)
+    monkeypatch.setattr(G, "normalised_edges", lambda *_: wrong)
+    assert G.weight_faults(g, G.normalised_edges(g)).count() == len({*EDGES})
+
+
 def test_neighbour_sums(spark):
     g = graph(spark, EDGES, 4)
     x = spark.createDataFrame(ROWS, "v long, h array<double>")

@@ -78,9 +78,17 @@ def slice_rows(edges: DataFrame, left: int, right: int, end: str = "dst") -> Dat
 
 
 def weight_faults(g: Graph, weighted: DataFrame, tolerance: float = 1e-3) -> DataFrame:
-    """Rows of ``weighted`` whose weight isn't that of the formula."""
-    right = normalised_edges(g).select("src", "dst", F.col("w").alias("expected")).distinct()
-    return weighted.join(right, ["src", "dst"]).filter(F.abs(F.col("w") - F.col("expected")) >= tolerance)
+    """Pairs ``src, dst`` whose weights aren't those of the formula, or whose number of edges in ``weighted`` isn't the graph's.
+
+    Degrees are counted here from the edges alone, so that no fault of ``normalised_edges`` is shared.
+    """
+    into = g.edges.groupBy("dst").agg(F.count("*").alias("d"))
+    a, b = into.select(F.col("dst").alias("src"), F.col("d").alias("da")), into.select("dst", F.col("d").alias("db"))
+    expected = g.edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(a, "src", "left").join(b, "dst")
+    expected = expected.select("src", "dst", "n", F.pow((1.0 + F.coalesce("da", F.lit(0))) * (1.0 + F.col("db")), F.lit(-0.5)).alias("expected"))
+    found = weighted.groupBy("src", "dst").agg(F.count("w").alias("m"), F.min("w").alias("low"), F.max("w").alias("high"))
+    right = (F.col("n") == F.col("m")) & (F.abs(F.col("low") - F.col("expected")) < tolerance) & (F.abs(F.col("high") - F.col("expected")) < tolerance)
+    return expected.join(found, ["src", "dst"], "full").filter(~F.coalesce(right, F.lit(False)))
 
 
 def densified(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
