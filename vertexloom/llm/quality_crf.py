@@ -198,18 +198,35 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
+def _known(labels: DataFrame, label: str, id_col: str, held_in) -> DataFrame:
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
+    known = known if held_in is None else known.filter(held_in)
+    return known.groupBy(id_col).agg(F.min(label).alias("y"))
+
+
+def class_sizes(labels: DataFrame, label: str, *, id_col: str, held_in=None) -> tuple[int, int]:
+    """How many ids are labelled 0 and 1."""
+    counted = {r.y: r["count"] for r in _known(labels, label, id_col, held_in).groupBy("y").count().collect()}
+    return counted.get(0, 0), counted.get(1, 0)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, id_col: str, text_col: str, held_in=None) -> DataFrame:
-    """Texts of labelled rows, ``per_class`` of each label at most, drawn by a hash of the id; written to the shared folder.
+    """``doc_id, y, text`` of labelled rows, ``per_class`` of each label at most, drawn by a hash of the id; written to the shared folder.
 
-    The drawn ids, ``2 * per_class`` at most, are broadcast. Of rows that repeat an id, all are taken; a document labelled twice has its lower label.
+    A threshold on the hash, from the classes' sizes, leaves a few more rows than are wanted, so that tasks send no more than these to where the least
+    are taken. The drawn ids, ``2 * per_class`` at most, are broadcast. Of rows that repeat an id, the one with the least text hash is taken; a
+    document labelled twice has its lower label.
     """
-    known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
-    known = known if held_in is None else known.filter(held_in)
-    known = known.groupBy(id_col).agg(F.min(label).alias("y"))
-    drawn = [known.filter(F.col("y") == y).orderBy(F.xxhash64(id_col, F.lit("train")), id_col).limit(per_class) for y in (0, 1)]
+    known = _known(labels, label, id_col, held_in)
+    wanted = per_class + 6 * per_class**0.5 + 10
+    unit = F.pmod(F.xxhash64(id_col, F.lit("train")), F.lit(1 << 52)) / float(1 << 52)
+    drawn = []
+    for y, size in enumerate(class_sizes(labels, label, id_col=id_col, held_in=held_in)):
+        drawn.append(known.filter((F.col("y") == y) & (unit <= min(1.0, wanted / max(size, 1)))).orderBy(unit, id_col).limit(per_class))
     drawn = drawn[0].unionAll(drawn[1]).select(F.col(id_col).alias("doc_id"), "y")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return cut(texts.join(F.broadcast(drawn), "doc_id"))
+    least = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return cut(least.select("doc_id", "y", "t.text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Field | None:
