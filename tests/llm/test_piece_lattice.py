@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -58,6 +60,51 @@ def test_long_words_and_forgetting(v, monkeypatch):
     assert [s for s, _ in whole] == pytest.approx([s for s, _ in again]) and whole[0][1].tolist() == again[0][1].tolist()
 
 
+LONG = """
+import random, resource, sys
+import public_tokenizers
+from vertexloom.llm import piece_lattice as L
+
+v = L.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+r = random.Random(5)
+word = "".join(r.choice("etaoinshrdlu") for _ in range(200_000))
+ways = L.encode_batch(v, [word], 4)[0]
+assert len(ways) == 4 and len({i.tobytes() for _, i in ways}) == 4 and all(L.decode(v, i) == word for _, i in ways)
+assert sorted((s for s, _ in ways), reverse=True) == [s for s, _ in ways]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_a_very_long_word_stays_small():
+    """A word of 200,000 letters takes memory in proportion to its length."""
+    got = subprocess.run([sys.executable, "-c", LONG], capture_output=True, text=True, timeout=300, check=True)
+    assert int(got.stdout) < 500
+
+
+def test_pieces_across_words(v, monkeypatch):
+    """Of a model whose pieces cross words a text is one word, with the same results where none does."""
+    texts = ["the of a  the", "", " \n the\nof", "é the漢"]
+    want = L.encode_batch(v, texts, 4)
+    monkeypatch.setattr(v, "crossing", True)
+    assert L.words_of(v, "a b") == ["▁a▁b"]
+    got = L.encode_batch(v, texts, 4)
+    for a, b in zip(want, got, strict=True):
+        assert [s for s, _ in a] == pytest.approx([s for s, _ in b]) and a[0][1].tolist() == b[0][1].tolist()
+
+
+def test_one_pass_gives_the_second_best(v):
+    r = random.Random(2)
+    for _ in range(200):
+        word = "".join(r.choice("abthe▁n漢é") for _ in range(r.randint(1, 9)))
+        scores = [s for s, _ in every(v, word)] + [-np.inf]
+        best, second, _ = L.forward(L.lattice(v, word))
+        assert best[-1] == pytest.approx(scores[0]) and second[-1] == pytest.approx(scores[1])
+        score, loss, lengths, begin, flat = L.forward_batch(v, [word, word])
+        assert score[1] == pytest.approx(scores[0]) and loss[0] == pytest.approx(scores[0] - scores[1])
+        assert flat[begin[1] : begin[1] + lengths[1]].tolist() == L.cuts_to_ids(v, word, L.best_cuts(v, word))
+
+
 def test_bytes_stand_for_unknown_characters(v):
     assert L.cuts_to_ids(v, "Ａ", (1,)) == [v.bytes[b] for b in "Ａ".encode()]
     assert L.decode(v, L.cuts_to_ids(v, "▁Ａ\n", (1, 2, 3))) == "Ａ\n"

@@ -57,8 +57,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, column: str) -> DataFrame:
-    """``df`` mapped by ``function``, which turns a slice of rows into columns by name in the order of ``schema``."""
+def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, column: str, limit: int = BATCH_BYTES) -> DataFrame:
+    """``df`` mapped by ``function``, which turns a slice of rows into columns by name in the order of ``schema``. A slice has about ``limit`` bytes of text."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -66,7 +66,7 @@ def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema:
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 made = function(part)
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in fields], schema=fields)
 
