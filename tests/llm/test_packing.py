@@ -46,3 +46,19 @@ def test_empty_table_and_bad_limit(none):
     assert packing.pack(none, JSON, RANKS).count() == 0
     with pytest.raises(ValueError):
         packing.pack(none, JSON, limit=1000)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, " " * 300_000 + "end", "\n" * 100_000, "x" * 100_000, "日本語" * 20_000, "7" * 50_000, "#$%" * 20_000, "\t \u3000" * 20_000, "a" + "\u0301" * 20_000, "<|endoftext|>" + " " * 200_000])
+def test_long_runs(text):
+    """What makes the faster library panic, or might, has the ids of the tokenizer."""
+    assert packing.encoder(JSON, RANKS)(text) == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_ids_are_spread(spark, monkeypatch):
+    """Rows that share an id, or have none, don't share a window."""
+    monkeypatch.setattr(packing, "GROUPS", 16)
+    df = spark.createDataFrame([(i, "a b") for i in [None] * 300 + [7] * 300], "doc_id long, text string")
+    rows = packing.pack(df, JSON, RANKS).collect()
+    lanes = packing.CONTEXT.bit_length()
+    assert len({r.sequence_id for r in rows}) == len(rows) == 1200
+    assert len({r.sequence_id // lanes % 16 for r in rows if r.doc_id is None}) == 16

@@ -67,6 +67,10 @@ def encoder(json_path: str, rank_path: str | None):
             return fast.encode_ordinary(text)
         except (ValueError, RuntimeError):
             return by_book(text)
+        except BaseException as error:  # its panics, as over a million spaces, aren't of class Exception
+            if type(error).__name__ != "PanicException":
+                raise
+            return by_book(text)
 
     return encode
 
@@ -100,7 +104,8 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, *, id_col:
 
     kind = dict(df.dtypes)[id_col]
     cut = map_texts(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), pieces, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids, "text")
-    group = F.pmod(F.xxhash64("doc_id", "start"), F.lit(GROUPS))
+    # The row's number in its task keeps pieces of rows that share an id, or have none, out of one group.
+    group = F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(GROUPS))
     bucket = F.log2(F.col("length")).cast("long")
     order = Window.partitionBy("length", "pack_group").orderBy("doc_id", "start", "ids_crc32")
     number = (F.row_number().over(order).cast("long") - 1) * GROUPS + F.col("pack_group")
