@@ -2,7 +2,9 @@
 
 A page becomes a row of tokens: words and tags. Words score by where they stand, which is positive inside an article and negative
 inside menus and other furniture, and tags score negative; the weights are fitted on labelled pages. One linear scan finds the
-contiguous row of tokens with the greatest sum, the content region. From it, words whose own score is positive are the text.
+contiguous row of tokens with the greatest sum, the content region. Inside it, words that score negative themselves, which stand
+in furniture within the article, are left out; a row of them costs the scan nothing within an article or main element and no more
+than ``GAP`` elsewhere, so that it passes over furniture of any size to the paragraphs beyond. Hidden elements are no text.
 
 The labelled pages are drawn by ``labelled_page`` from a seed: layouts in which it is known which words are content.
 """
@@ -14,6 +16,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +29,34 @@ from vertexloom.llm.common import map_texts
 RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "select", "option", "button", "video", "audio", "canvas")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Words in class, id and role that may tell furniture or content; each is a cue to be weighted.
-CUES = tuple("ad ads advert advertisement advertising sponsor sponsored promo banner cookie consent notice alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar widget related share social footer header masthead comment comments reply respond newsletter subscribe signup login search toolbar pager pagination copyright disclaimer content article post story entry main body".split())
-_CUES = frozenset(CUES)
+#: Words in class, id and role that may tell furniture or content, by kind; each is a cue to be weighted, in the singular and the plural.
+NAMES = {
+    "menu": "menu nav navbar navigation breadcrumb toolbar pager pagination".split(),
+    "advert": "ad advert advertisement advertising sponsor sponsored promo banner".split(),
+    "notice": "cookie consent notice alert popup modal overlay disclaimer copyright".split(),
+    "side": "sidebar widget related share social".split(),
+    "form": "newsletter subscribe signup login search feedback".split(),
+    "comments": "comment reply respond response discussion disqus thread".split(),
+    "edge": "header footer masthead".split(),
+    "content": "content article post story entry main body text".split(),
+}
+CUES = tuple(name for names in NAMES.values() for name in names)
+_CUES = {form: c for c in CUES for form in (c, f"{c}s", f"{c[:-1]}ies" if c.endswith("y") else c)}
 #: Elements that are cues by their name.
-PLACES = ("nav", "header", "footer", "aside", "form", "article", "main", "p", "li", "a", "heading", "table", "figure", "dialog", "menu", "outside")
+PLACES = frozenset("nav header footer aside form article main p li a table figure dialog menu".split())
+#: A heading that opens readers' comments.
+COMMENTS = re.compile(r"\W*(?:\d+\s+)?(?:(?:reader|user|leave|post|add|write|join|all|the|your|a)\W+){0,3}(?:comments?|responses?|repl(?:y|ies)|discussion)\W*(?:\d+\W*)?", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ENDS = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
+HEADING = re.compile("h[1-6]")
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 #: Block elements that end an open paragraph, as the HTML parser does.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
+#: What a row of furniture costs the scan at most where no element says that it is the article; words of a block that is long, and of one that is short.
+GAP = 20.0
+LONG, SHORT = 15, 4
 
 
 @dataclasses.dataclass
@@ -51,55 +71,108 @@ class Weights:
         return self.word + sum(self.cue.get(c, 0.0) for c in cues)
 
 
-def cues_of(tag: str, attributes: str, around: frozenset[str]) -> frozenset[str]:
-    """What an element adds to the cues of the elements around it. A header within an article is the article's own."""
+def cues_of(tag: str, attributes: str, around: frozenset[str]) -> frozenset[str] | None:
+    """The cues within an element, given those of the elements around it; None if it is hidden. A header within an article is the article's own."""
     new = set()
     if tag in PLACES and not (tag == "header" and ("article" in around or "main" in around)):
         new.add(tag)
-    if re.fullmatch("h[1-6]", tag):
+    elif HEADING.fullmatch(tag):
         new.add("heading")
-    for _, value in ATTRIBUTE.findall(attributes):
-        parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        new |= {f".{p}" for p in parts if p in _CUES}
+    for name, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
+        name = name.lower()
+        if name == "hidden" or name == "style" and UNSEEN.search(value):
+            return None
+        if name in ("class", "id", "role"):
+            parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+            new |= {f".{_CUES[p]}" for p in parts if p in _CUES}
     return around | new if new else around
 
 
+class _Open:
+    """An open element: its name, the cues within, or None if hidden, and the tokens before it."""
+
+    __slots__ = ("cues", "since", "tag")
+
+    def __init__(self, tag: str, cues: frozenset[str] | None, since: int) -> None:
+        self.tag, self.cues, self.since = tag, cues, since
+
+
 def tokens(page: str) -> list[tuple[str, str, frozenset[str]]]:
     """The page's tokens in order: ("text", string, cues around it), ("block", "", cues) or ("inline", "", cues)."""
     out: list[tuple[str, str, frozenset[str]]] = []
-    start = frozenset({"outside"})
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = [_Open("", frozenset(), 0)]
+    opened: Counter = Counter()
     at, n = 0, len(page)
+
+    def shut_last() -> None:
+        last = stack.pop()
+        opened[last.tag] -= 1
+        if HEADING.fullmatch(last.tag) and stack[-1].cues is not None and ".comment" not in stack[-1].cues:
+            said = "".join(piece for kind, piece, _ in out[last.since :] if kind == "text")
+            if len(said) < 80 and COMMENTS.fullmatch(said):
+                stack[-1].cues = stack[-1].cues | {".comment"}
+                out[last.since :] = [(kind, piece, cues | {".comment"}) for kind, piece, cues in out[last.since :]]
+
     while at < n:
         found = TOKEN.match(page, at)
         at = found.end()
-        around = stack[-1][1] if stack else start
+        around = stack[-1].cues
         name = found[2] or found[5]
         if name is None:
             piece = found[0]
-            if piece[0] != "<" or piece == "<":
+            if around is not None and (piece[0] != "<" or piece == "<"):
                 out.append(("text", piece, around))
             continue
         closing, tag, attributes = bool(found[1] or found[4]), name.lower(), found[3] or found[6] or ""
         if not closing and tag in ENDS:
             end = ENDS[tag].search(page, at)
             at = end.end() if end else n
-            out.append(("inline", "", around))
+            if around is not None:
+                out.append(("inline", "", around))
             continue
         if closing:
-            depth = next((i for i in reversed(range(len(stack))) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if opened[tag] > 0:
+                while stack[-1].tag != tag:
+                    shut_last()
+                shut_last()
         else:
             shut = CLOSES.get(tag) or ({"p"} if tag in ENDS_P else ())
-            while shut and stack and stack[-1][0] in shut:
-                stack.pop()
-            around = stack[-1][1] if stack else start
-            if tag not in VOID and (tag not in INLINE or tag == "a") and not attributes.rstrip().endswith("/"):
-                base = around - {"outside"} if tag in ("article", "main") else around
-                stack.append((tag, cues_of(tag, attributes, base)))
-        out.append(("inline" if tag in INLINE else "block", "", around))
-    return out
+            while shut and stack[-1].tag in shut:
+                shut_last()
+            around = stack[-1].cues
+            if tag not in VOID and (tag not in INLINE or tag == "a" or "hidden" in attributes or "style" in attributes):
+                stack.append(_Open(tag, None if around is None else cues_of(tag, attributes, around), len(out)))
+                opened[tag] += 1
+        if around is not None:
+            out.append(("inline" if tag in INLINE else "block", "", around))
+    return with_shapes(out)
+
+
+def with_shapes(parts: list[tuple[str, str, frozenset[str]]]) -> list[tuple[str, str, frozenset[str]]]:
+    """Adds cues of a block's shape to its text: ``long``, and outside an article ``short``, and ``linked`` if most of its words are links."""
+    known: dict[tuple, frozenset[str]] = {}
+    begin = 0
+    for i in range(len(parts) + 1):
+        if i < len(parts) and parts[i][0] != "block":
+            continue
+        words = linked = 0
+        for kind, piece, cues in parts[begin:i]:
+            if kind == "text":
+                many = len(piece.split())
+                words += many
+                linked += many * ("a" in cues)
+        shape = ("long",) * (words >= LONG)
+        bare = shape + ("short",) * (words < SHORT) + ("linked",) * (2 * linked > words)
+        for j in range(begin, i):
+            kind, piece, cues = parts[j]
+            if kind == "text":
+                own = shape if "article" in cues or "main" in cues else bare
+                key = (cues, own)
+                if key not in known:
+                    known[key] = cues.union(own)
+                parts[j] = (kind, piece, known[key])
+        begin = i + 1
+    return parts
 
 
 def best_region(scores: np.ndarray) -> tuple[int, int]:
@@ -118,17 +191,25 @@ def extract(page: str | None, weights: Weights) -> str:
     """The main text: character references decoded, white space inside a block made one space, blocks joined by one space."""
     parts = tokens(page or "")
     known: dict[frozenset[str], float] = {}
-    scores, words = np.zeros(len(parts)), []
+    scores, words, debt = np.zeros(len(parts)), [], 0.0
     for i, (kind, piece, cues) in enumerate(parts):
+        if cues not in known:
+            known[cues] = weights.of(cues)
         if kind == "text":
-            if cues not in known:
-                known[cues] = weights.of(cues)
             decoded = html.unescape(piece)
             words.append(decoded)
-            scores[i] = known[cues] * len(decoded.split())
+            score = known[cues] * len(decoded.split())
         else:
             words.append("")
-            scores[i] = weights.tag
+            score = weights.tag
+        if known[cues] <= 0 and ("article" in cues or "main" in cues):
+            score = 0.0
+        elif score > 0:
+            debt = 0.0
+        else:
+            score = max(score, -GAP - debt)
+            debt += score
+        scores[i] = score
     begin, end = best_region(scores)
     blocks, line = [], []
     for i in range(begin, end):
@@ -157,42 +238,59 @@ def labelled_page(seed: int) -> tuple[str, set[str]]:
         return " ".join(made)
 
     few, some, many = (lambda: r.randint(1, 4)), (lambda: r.randint(4, 14)), (lambda: r.randint(20, 90))
-    links = lambda n: "".join(f'<li><a href="#">{words(few(), False)}</a></li>' for _ in range(n))
+    no, yes = (lambda n: words(n, False)), (lambda n: words(n, True))
+    links = lambda n, good=False: "".join(f'<li><a href="#">{words(few(), good)}</a></li>' for _ in range(n))
+    named = lambda kind: r.choice(["class", "id"]) + f'="{r.choice(NAMES[kind])}{r.choice(["", "s", "-box", " wide", "_1"])}"'
+    remarks = lambda: "".join(r.choice(["<p>{}</p>", "<li><p>{}</p></li>", "<article><p>{}</p></article>", "<div>{}</div>", "<blockquote>{}</blockquote>"]).format(no(r.randint(5, 60))) for _ in range(few()))
     furniture = [
         lambda: f"<nav><ul>{links(some())}</ul></nav>",
-        lambda: f'<div class="{r.choice(["menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "toolbar", "pagination", "pager"])}"><ul>{links(some())}</ul></div>',
+        lambda: f"<div {named('menu')}>{no(r.randint(0, 6))}<ul>{links(r.randint(1, 8))}</ul><p>{no(r.randint(0, 8))}</p></div>",
         lambda: f"<menu>{links(few())}</menu>",
-        lambda: f'<div class="{r.choice(["ad", "ads", "advert", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner"])}">{words(some(), False)}</div>',
-        lambda: f'<div id="{r.choice(["cookie", "consent", "notice", "alert", "popup", "modal", "overlay", "disclaimer", "copyright"])}"><p>{words(some() * 2, False)}</p></div>',
-        lambda: f"<aside><h3>{words(few(), False)}</h3><p>{words(some() * 2, False)}</p></aside>",
-        lambda: f'<div class="{r.choice(["sidebar", "widget", "related", "share", "social"])}"><h4>{words(few(), False)}</h4><ul>{links(few())}</ul><p>{words(some(), False)}</p></div>',
-        lambda: f"<form><label>{words(few(), False)}</label><p>{words(some(), False)}</p></form>",
-        lambda: f'<div class="{r.choice(["newsletter", "subscribe", "signup", "login", "search"])}"><p>{words(some(), False)}</p></div>',
-        lambda: f"<dialog><p>{words(some(), False)}</p></dialog>",
-        lambda: f'<section class="{r.choice(["comments", "comment", "reply", "respond"])}"><h3>{words(few(), False)}</h3>' + "".join(f"<p>{words(r.randint(5, 60), False)}</p>" for _ in range(few())) + "</section>",
+        lambda: f"<div {named('advert')}>{r.choice(['{}', '<p>{}</p>']).format(no(r.randint(4, 60)))}</div>",
+        lambda: f"<div {named('notice')}><p>{no(some() * 3)}</p></div>",
+        lambda: f"<aside><h3>{no(few())}</h3><p>{no(some() * 2)}</p></aside>",
+        lambda: f"<div {named('side')}><h4>{no(few())}</h4><ul>{links(few())}</ul><p>{no(some() * 2)}</p></div>",
+        lambda: f"<form><label>{no(few())}</label><p>{no(some())}</p>{no(few())}</form>",
+        lambda: f"<div {named('form')}><p>{no(some())}</p></div>",
+        lambda: f"<dialog><p>{no(some())}</p></dialog>",
     ]
-    before = f"<header><h1>{words(few(), False)}</h1><p>{words(some(), False)}</p></header>" if r.random() < 0.5 else f'<div class="{r.choice(["header", "masthead"])}">{words(some(), False)}</div>'
-    after = f"<footer><p>{words(some(), False)}</p></footer>" if r.random() < 0.6 else f'<div class="footer">{words(some(), False)}</div>'
-    body = [f"<h1>{words(r.randint(3, 12), True)}</h1>"]
-    for _ in range(r.randint(1, 9)):
+    unnamed = [  # which are furniture for sure only outside an article
+        lambda: f"<div><ul>{links(some())}</ul></div>",
+        lambda: "<table><tr>" + "".join(f"<td><a href='#'>{no(few())}</a></td>" for _ in range(some())) + "</tr></table>",
+    ]
+    comments = [
+        lambda: f"<section {named('comments')}><h3>{no(few())}</h3>{remarks()}</section>",
+        lambda: f"<section><h3>{r.choice(['Comments', '7 comments', 'Reader comments', 'Leave a reply', 'Responses (3)'])}</h3>{remarks()}</section>",
+    ]
+    any_furniture = lambda more=(): r.choice([*furniture, *more] if r.random() < 0.75 else comments)()
+    before = f"<header><h1>{no(few())}</h1><p>{no(some())}</p></header>" if r.random() < 0.5 else f"<div {named('edge')}>{no(some())}</div>"
+    after = f"<footer><p>{no(some())}</p>{no(few())}</footer>" if r.random() < 0.6 else f"<div {named('edge')}>{no(some())}</div>"
+    paragraph = lambda: f"<p>{yes(many())} <a href='#'>{yes(few())}</a> {yes(few())}" + "</p>" * (r.random() < 0.8)
+    blocks = [
+        lambda: f"{r.choice(['', '<div>'])}{yes(many())}<br>{yes(some())}<br>",
+        lambda: f"<h{r.choice('234')}>{yes(few())}</h2>",
+        lambda: r.choice(["<ul>{}</ul>", "<ol>{}</ol>"]).format("".join(f"<li>{yes(some())}</li>" for _ in range(few()))),
+        lambda: f"<figure>{yes(few())}<figcaption>{yes(some())}</figcaption></figure>",
+        lambda: "<table>" + "".join(f"<tr><td>{yes(few())}</td><td>{yes(some())}</td></tr>" for _ in range(few())) + "</table>",
+        lambda: r.choice(["<blockquote>{}</blockquote>", "<pre>{}</pre>", "<blockquote><p>{}</p></blockquote>", "<section>{}</section>", "<div>{}</div>", "<address>{}</address>"]).format(yes(r.randint(3, 60))),
+        lambda: f"<dl><dt>{yes(few())}</dt><dd>{yes(some())}</dd></dl>",
+        lambda: f"<p>{yes(few())}</p><p><a href='#'>{yes(few())}</a></p>",
+        lambda: f"<ul>{links(few(), True)}</ul>",
+    ]
+    holder = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), *((f'<div class="{c}">', "</div>") for c in NAMES["content"]), ("<div>", "</div>")])
+    marked = "article" in holder[0] and "class" not in holder[0] or "<main>" in holder[0]
+    body = [f"<h1>{yes(r.randint(3, 12))}</h1>", paragraph()]
+    for _ in range(r.randint(0, 9)):
         kind = r.random()
-        if kind < 0.75:
-            body.append(f"<p>{words(many(), True)} <a href='#'>{words(few(), True)}</a> {words(few(), True)}" + "</p>" * (r.random() < 0.8))
-        elif kind < 0.83:
-            body.append(f"<h2>{words(few(), True)}</h2>")
-        elif kind < 0.9:
-            body.append("<ul>" + "".join(f"<li>{words(some(), True)}</li>" for _ in range(few())) + "</ul>")
-        elif kind < 0.95:
-            body.append(f"<figure>{words(some(), True)}</figure><table><tr><td>{words(few(), True)}</td></tr></table>")
-        else:
-            body.append(r.choice(furniture)())
-    opened, closed = r.choice([("<article>", "</article>"), ("<main>", "</main>"), *((f'<div class="{c}">', "</div>") for c in ("content", "article", "post", "story", "entry", "main", "body")), ("<main><article>", "</article></main>"), ("<div>", "</div>")])
-    parts = [before, *(r.choice(furniture)() for _ in range(r.randint(0, 3))), opened, *body, closed, *(r.choice(furniture)() for _ in range(r.randint(0, 3))), after]
+        # An all-linked block is content for sure only in an element that says so.
+        body.append(paragraph() if kind < 0.55 else r.choice(blocks if marked else blocks[:-2])() if kind < 0.9 else any_furniture())
+    body.append(paragraph() if not marked or r.random() < 0.7 else r.choice(blocks)())
+    parts = [before, *(any_furniture(unnamed) for _ in range(r.randint(0, 3))), holder[0], *body, holder[1], *(any_furniture(unnamed) for _ in range(r.randint(0, 3))), after]
     return "<html><body>" + "".join(parts) + "</body></html>", content
 
 
 @functools.cache
-def fitted(pages: int = 400, steps: int = 1000, ridge: float = 2e-4) -> Weights:
+def fitted(pages: int = 1000, steps: int = 1000, ridge: float = 2e-4) -> Weights:
     """Weights from labelled pages: a logistic model of whether a word is content gives words' scores; the tag's score is minus the mean log odds lost where content borders on furniture."""
     columns: dict[str, int] = {}
     rows: list[tuple[frozenset[str], int, int]] = []
