@@ -18,7 +18,7 @@ def edited(words, places, tag):
 
 
 def plain_classes(texts):
-    """Union of all pairs that are similar enough, by comparing every two texts."""
+    """Union of all pairs that are similar enough, by comparing every two texts that are equal or share a shingle."""
     parent = {i: i for i in texts}
 
     def root(i):
@@ -28,11 +28,15 @@ def plain_classes(texts):
 
     sets = {i: P.weighted_shingles(t) for i, t in texts.items()}
     ids = sorted(texts)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            alike = texts[a] == texts[b] or (len(sets[a][0]) and len(sets[b][0]) and P.probability_jaccard(sets[a], sets[b]) >= 0.8)
-            if alike and root(a) != root(b):
+    having, equal = defaultdict(list), defaultdict(list)
+    for a in ids:
+        meets = {b: texts[a] == texts[b] for b in {*equal[texts[a]], *(b for k in sets[a][0].tolist() for b in having[k])}}
+        for b, same in meets.items():
+            if root(a) != root(b) and (same or P.probability_jaccard(sets[a], sets[b]) >= 0.8):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
+        equal[texts[a]].append(a)
+        for k in sets[a][0].tolist():
+            having[k].append(a)
     return {i: root(i) for i in ids}
 
 
@@ -125,3 +129,35 @@ def test_a_link_to_a_member_of_the_heads_component(spark):
     assert like(0, 1) and like(1, 2) and not like(0, 2)
     got = P.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.class_id for r in got} == {0}
+
+
+def test_bounds_hold_and_are_exact_without_repeats():
+    r = random.Random(11)
+    sets = []
+    for _ in range(40):
+        words = prose(r.randrange(5), 40).split()
+        sets.append(P.weighted_shingles(" ".join(edited(words, set(r.sample(range(40), r.randrange(6))), "n") + words[: r.randrange(25)])))
+    tile = P.Tile()
+    for i, s in enumerate(sets):
+        tile.add(i, s)
+    for a in sets:
+        for b, bound in zip(sets, tile.bounds(*a), strict=True):
+            exact = P.probability_jaccard(a, b)
+            assert bound >= exact - 1e-9
+            if (a[1] == 1).all() and (b[1] == 1).all():
+                assert bound == pytest.approx(exact)
+
+
+def test_needed_agreement_leaves_similar_pairs():
+    from math import comb
+
+    needed = P.agreement_needed(0.8)
+    missed = sum(comb(P.REGISTERS, k) * 0.8**k * 0.2 ** (P.REGISTERS - k) for k in range(needed))
+    assert 0 < missed < 1e-5
+
+
+def test_all_links_of_the_test_table(spark, sf_dir):
+    """Classes of the whole table, against all pairs by an inverted index: no link of 0.8 is lost."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").collect()}
+    got = {r.doc_id: r.class_id for r in P.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows)
