@@ -14,27 +14,32 @@ from vertexloom.llm.common import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose lines score well enough stay (operator 10)."""
+    """Documents whose lines score well enough stay (operator 10). A null text is an empty line; repeated rows stay or go together; without labels of both kinds all stay."""
     return quality_crf.keep_good(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no category of the classifier chain claims stay (operator 4)."""
+    """Documents that the classifier chain doesn't call toxic stay (operator 4). A null text counts as empty; repeated rows stay or go together; without labels of both kinds all stay."""
     return toxicity_chain.keep_clean(docs, toxicity_chain.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one with the least id (operator 9); rows without an id all stay, and of rows that share one, one."""
+    """One document of each class stays, the one with the least id (operator 9); rows without an id all stay.
+
+    Of rows that share an id and a text, one stays; rows that share an id but not the text stay or go together, as one document.
+    Null texts count as empty, and empty texts are one class. An empty table gives no rows; all columns are kept.
+    """
     classes = prob_minhash.near_duplicates(docs.select("doc_id", "text"))
     stay = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").withColumn("rank of rows that share an id", F.row_number().over(order))
-    named = named.filter(F.col("rank of rows that share an id") == 1).select(*docs.columns)
+    equal = F.sha2(F.coalesce("text", F.lit("")), 256)
+    named = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").withColumn("hash of equal rows", equal)
+    order = Window.partitionBy("doc_id", "hash of equal rows").orderBy(*(F.xxhash64(c) for c in docs.columns))
+    named = named.withColumn("rank of equal rows", F.row_number().over(order)).filter(F.col("rank of equal rows") == 1).select(*docs.columns)
     return named.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in them are replaced by a mark, and ``n_chars`` follows (operator 5)."""
+    """All documents stay; secrets in them are replaced by a mark, and ``n_chars`` follows (operator 5). A null or empty text stays as it is."""
     found = secrets.scan(docs)
     clean = secrets.redacted(F.col("text"), F.col("secret_spans"))
     length = F.when(F.size("secret_spans") > 0, F.char_length(clean).cast("long")).otherwise(F.col("n_chars"))
@@ -42,7 +47,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of binary lengths, with their token ids (operator 7)."""
+    """All documents as pieces of binary lengths, with their token ids (operator 7). A null or empty text is the end id alone; repeated rows give repeated pieces."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

@@ -50,3 +50,11 @@ def test_toxic_copies_and_clean_rows(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, str(tmp_path)).collect()}
     assert kept == {i for i in range(100) if i % 5}
+
+
+def test_one_id_with_two_texts(spark, tmp_path):
+    """Of equal rows one stays; another text under the same id isn't dropped for that."""
+    rows = [(1, prose(1, 60), "en", "s", 0), (1, prose(1, 60), "en", "s", 0), (1, prose(2, 60), "en", "s", 0), (2, prose(3, 60), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert kept == sorted({(r[0], r[1]) for r in rows})
