@@ -143,8 +143,8 @@ def edited_pairs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Whole texts are shuffled once, and the parts of them that edit others once.
     """
     # A key for every row, so that both joins below read one exchange: neither filters nulls, and rows without an id don't share a key.
-    key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.concat(F.lit("-"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(SPREAD)).cast("string"), F.lit("-")))
-    whole = df.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.concat(F.lit("n"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(SPREAD)).cast("string")), F.lit("n"))
+    whole = df.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = add_signature(whole, F.col("text"), "signature")
     ids = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.floor(F.char_length(F.coalesce(F.col(text_col), F.lit(""))) / 2).alias("half"))
     ids = cut(ids.groupBy("id").agg(F.max("half").alias("half")))
@@ -156,4 +156,4 @@ def edited_pairs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     joined = docs.join(parts.hint("merge"), F.col("key") == F.col("for_id"), "left").withColumn("n_chars", F.char_length("text").cast("long"))
     kept = F.expr("substring(text, 1, int(n_chars - floor(n_chars / 2)))")
     taken = F.expr("substring(p.part, 1, int(floor(n_chars / 2)))")
-    return joined.select("doc_id", "n_chars", "text", F.concat(kept, F.coalesce(taken, F.lit(""))).alias("edited"), "signature", F.coalesce(F.col("p.next_signature"), F.array(*map(F.lit, empty))).alias("next_signature"))
+    return joined.select(F.expr("try_cast(key AS bigint)").alias("doc_id"), "n_chars", "text", F.concat(kept, F.coalesce(taken, F.lit(""))).alias("edited"), "signature", F.coalesce(F.col("p.next_signature"), F.array(*map(F.lit, empty))).alias("next_signature"))
