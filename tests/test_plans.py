@@ -51,23 +51,28 @@ def dense_graph():
     return a
 
 
-def plain(x, y, epochs, optimizer, hidden=4):
-    """Two layers by hand."""
-    a, w = dense_graph(), [glorot(D, hidden), glorot(hidden, C)]
-    losses = []
+def plain(x, y, epochs, optimizer, hidden=4, staleness=0, rows=None, clip=None):
+    """Two layers by hand. Both passes use the weights of ``staleness`` epochs ago; ``rows`` alone give the gradient, which ``clip`` bounds."""
+    a, newest = dense_graph(), [glorot(D, hidden), glorot(hidden, C)]
+    losses, versions = [], [newest]
     for _ in range(epochs):
+        w = versions[max(0, len(versions) - 1 - staleness)]
         h = np.maximum(a @ x @ w[0], 0)
         z = a @ h @ w[1]
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         losses.append(-(y * np.log(p + 1e-8)).sum() / N)
         g = -y / N / (p + 1e-8)
+        if rows is not None:
+            g = g * np.isin(np.arange(N), rows)[:, None]
         g = p * (g - (g * p).sum(1, keepdims=True))
         g = a.T @ g
         g1, back = h.T @ g, g @ w[1].T
         g0 = x.T @ (a.T @ (back * (h > 0)))
-        w = [optimizer.step("0", w[0], g0), optimizer.step("1", w[1], g1)]
-    return w, losses
+        g0, g1 = (m if clip is None else np.clip(m, -clip, clip) for m in (g0, g1))
+        newest = [optimizer.step("0", newest[0], g0), optimizer.step("1", newest[1], g1)]
+        versions.append(newest)
+    return newest, losses
 
 
 def data(spark):
@@ -93,8 +98,13 @@ def test_schedules(spark):
     whole = train(GCN(1, 4, C, D), edges, features, labels, SGD(0.3), 1)
     once = train(GCN(1, 4, C, D), edges, features, labels, SGD(0.3), 1, update="chunk", chunks=1)
     assert all(np.allclose(whole.weights[k], once.weights[k]) for k in whole.weights)
-    last = train(GCN(1, 4, C, D), edges, features, labels, SGD(0.3), 1, update="last_chunk", chunks=5)
-    assert any(not np.allclose(whole.weights[k], last.weights[k]) for k in whole.weights)
+    last = train(GCN(2, 4, C, D), edges, features, labels, SGD(0.3), 2, update="last_chunk", chunks=5)
+    w, _ = plain(x, y, 2, SGD(0.3), rows=[N - 1], clip=2.0)
+    assert all(np.allclose(last.weights[k], v, atol=1e-9) for k, v in zip(sorted(last.weights), w, strict=True))
+    stale = train(GCN(2, 4, C, D), edges, features, labels, SGD(0.3), 3, staleness=1)
+    w, losses = plain(x, y, 3, SGD(0.3), staleness=1)
+    assert [loss for _, loss, *_ in stale.metrics] == pytest.approx(losses, abs=1e-9)
+    assert all(np.allclose(stale.weights[k], v, atol=1e-9) for k, v in zip(sorted(stale.weights), w, strict=True))
     with pytest.raises(ValueError):
         train(GCN(1, 4, C, D), edges, features, labels, SGD(0.3), 1, update="never")
 

@@ -48,5 +48,32 @@ def test_binary(spark, tmp_path):
     edges = binary.read_edges(spark, str(tmp_path / "e.bin"))
     assert {(r.src, r.dst, r.norm) for r in edges.collect()} == {(0, 1, 0.5), (4_000_000_000, 2, 0.25)}
     assert binary.vertex_count(edges) == 4_000_000_001
-    binary.write_edges(edges.select("src", "dst", edges.norm.alias("w")), str(tmp_path / "again.bin"))
-    assert sorted((tmp_path / "again.bin").read_bytes()) == sorted(rows.tobytes())
+    binary.write_edges(edges.select("src", "dst", edges.norm.alias("w")).repartition(2), str(tmp_path / "again"))
+    files = sorted((tmp_path / "again").glob("part-*.bin"))
+    assert len(files) == 2 and sorted(b"".join(f.read_bytes() for f in files)) == sorted(rows.tobytes())
+    assert {(r.src, r.dst, r.norm) for r in binary.read_edges(spark, str(tmp_path / "again")).collect()} == {(0, 1, 0.5), (4_000_000_000, 2, 0.25)}
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """A file in many splits gives the numbers that reading it in order gives."""
+    parts = [(i * 7919) % 13 for i in range(5000)]
+    path = put(tmp_path / "vec", "\n".join(map(str, parts)) + "\n\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = text.read_part_vector(spark, path)
+        assert rows.select("v").distinct().count() == 5000 and {r.v: r.part for r in rows.collect()} == dict(enumerate(parts))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_labels_meta_and_mapping(spark, tmp_path):
+    labels = spark.createDataFrame([(1, [0.0, 1.0]), (0, [1.0, 0.0])], "v long, y array<double>")
+    writers.write_labels(labels, str(tmp_path / "l"), single=True)
+    assert {r.v: r.y for r in text.read_vectors(spark, str(tmp_path / "l"), "y", 2).collect()} == {0: [1, 0], 1: [0, 1]}
+    meta = spark.createDataFrame([(4, 3, 2, 2)], "num_vertices long, num_edges long, num_features long, num_labels long")
+    writers.write_meta(meta, str(tmp_path / "m"))
+    assert text.read_meta(spark, str(tmp_path / "m")).collect() == meta.collect()
+    mapping = spark.createDataFrame([(5, 0), (2, 1)], "old long, new long")
+    writers.write_mapping(mapping, str(tmp_path / "map"))
+    assert set(text.read_mapping(spark, str(tmp_path / "map")).collect()) == set(mapping.collect())

@@ -15,6 +15,7 @@ from vertexloom.operators import partition as P
 from vertexloom.operators import tensor as X
 from vertexloom.plans.model import GCN
 from vertexloom.plans.train import train
+from vertexloom.sources import binary, text, writers
 from vertexloom.sources import tables as T
 from vertexloom.sources.tables import CLASSES, FEATURES
 
@@ -150,6 +151,11 @@ def structure_check(s, d):
     return G.weight_faults(g, G.normalised_edges(g)).agg(F.count("*").alias("faults"))
 
 
+@query(f"{SESSION} SELECT v, v>=100 AND v<300 AS is_local FROM v")
+def local_vertices(s, d):
+    return T.sessions(s, d).vertices.select("v", G.is_local(F.col("v"), 100, 300).alias("is_local"))
+
+
 @query(f"{SESSION} SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM e WHERE src=dst) AS self_loops")
 def graph_counts(s, d):
     g = T.sessions(s, d)
@@ -456,7 +462,7 @@ def weight_init(s, d):
     return _weights_table(s, glorot(FEATURES, CLASSES), 10)
 
 
-_PLATEAU = """WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY event_id) AS t, value AS x FROM events WHERE event_id<200),
+_PLATEAU = """WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY hour) AS t, x FROM (SELECT floor(epoch(ts)/3600) AS hour, min(value) AS x FROM events GROUP BY 1)),
 r AS (SELECT CAST(0 AS BIGINT) AS t, 0.1::DOUBLE AS rate, 3.4028234663852886e38::DOUBLE AS best, 0 AS bad, 0 AS wait
 UNION ALL SELECT t, CASE WHEN bad>3 AND rate-greatest(rate*0.8,0.001)>1e-8 THEN greatest(rate*0.8,0.001) ELSE rate END, best, CASE WHEN bad>3 THEN 0 ELSE bad END, CASE WHEN bad>3 THEN 2 ELSE wait END
 FROM (SELECT l.t, r.rate, least(r.best,l.x) AS best, CASE WHEN r.wait>0 THEN 0 WHEN l.x<r.best THEN 0 ELSE r.bad+1 END AS bad, CASE WHEN r.wait>0 THEN r.wait-1 ELSE 0 END AS wait FROM r JOIN l ON l.t=r.t+1))
@@ -465,8 +471,8 @@ SELECT t AS step, round(rate,8) AS rate FROM r WHERE t>0"""
 
 @query(_PLATEAU)
 def plateau_scheduler(s, d):
-    """The rate after each of the first losses; a state machine over the driver's metrics."""
-    losses = T.table(s, d, "events").filter("event_id < 200").orderBy("event_id").select("value").collect()
+    """The rate after each hour's least value, taken for a loss; a state machine over the driver's metrics, of which there is one for each hour of the events."""
+    losses = T.table(s, d, "events").groupBy(F.floor(F.unix_timestamp("ts") / 3600).alias("hour")).agg(F.min("value").alias("value")).orderBy("hour").collect()
     scheduler = optim.PlateauRate(0.1, 0.001, 0.8, 1e-8, 3, 2)
     return s.createDataFrame([(i, round(scheduler.step(r.value), 8)) for i, r in enumerate(losses, 1)], "step long, rate double")
 
@@ -629,7 +635,7 @@ def best_imbalanced_split(s, d):
 
 # Preparation of data sets
 
-_SPARSE = "WITH n AS (SELECT count(*) AS s FROM supplier), e AS (SELECT DISTINCT l_suppkey*3 AS src, (l_partkey+(SELECT s FROM n))*3 AS dst FROM lineitem JOIN part ON l_partkey=p_partkey WHERE p_size<=10), m AS (SELECT old, row_number() OVER (ORDER BY old)-1 AS new FROM (SELECT src AS old FROM e UNION SELECT dst FROM e))"
+_SPARSE = "WITH n AS (SELECT count(*) AS s FROM supplier), e AS (SELECT DISTINCT l_suppkey*3 AS src, (l_partkey+(SELECT s FROM n))*3 AS dst FROM lineitem), m AS (SELECT old, row_number() OVER (ORDER BY old)-1 AS new FROM (SELECT src AS old FROM e UNION SELECT dst FROM e))"
 
 
 @query(f"{_SPARSE} SELECT CAST(a.new AS BIGINT) AS src, CAST(b.new AS BIGINT) AS dst FROM e JOIN m a ON a.old=e.src JOIN m b ON b.old=e.dst")
@@ -656,6 +662,30 @@ def reorder_by_degree(s, d):
     return G.renumbered(g.edges, G.degree_order(g))
 
 
+@query(f"{SESSION}, {_BY_DEGREE} SELECT a.new AS src, b.new AS dst FROM e JOIN m a ON a.old=e.src JOIN m b ON b.old=e.dst")
+def reorder_by_file(s, d):
+    """As ``reorder_by_degree``, with the mapping written as text and read back."""
+    g, path = T.sessions(s, d), T.scratch(s)
+    writers.write_mapping(G.degree_order(g), path)
+    return G.renumbered(g.edges, text.read_mapping(s, path))
+
+
+@query(f"{SUPPLY} SELECT src, dst FROM e")
+def edges_through_text(s, d):
+    """Edges written as the two sorted copies and read back as one list."""
+    path = T.scratch(s)
+    writers.write_edges(T.supply(s, d).edges, path)
+    return text.read_edges(s, f"{path}/by_*")
+
+
+@query(f"{SUPPLY} SELECT src, dst FROM e")
+def edges_through_binary(s, d):
+    """Edges written as packed records, a file for each task, and read back."""
+    path = T.scratch(s)
+    binary.write_edges(T.supply(s, d).edges.withColumn("w", F.lit(1.0)), path)
+    return binary.read_edges(s, path).select("src", "dst")
+
+
 @query(f"{SUPPLY} SELECT src, dst, row_number() OVER (ORDER BY src,dst)-1 AS by_src, row_number() OVER (ORDER BY dst,src)-1 AS by_dst FROM e")
 def edges_sorted_dual(s, d):
     return G.positions(T.supply(s, d).edges)
@@ -667,7 +697,7 @@ def synthetic_features(s, d):
     return made.select("v", F.posexplode(F.arrays_zip("h", "y")).alias("k", "z")).select("v", F.col("k").cast("long").alias("k"), rnd("z.h", 6).alias("x"), F.col("z.y").alias("y"))
 
 
-@query(None)
+@query(f"{SUPPLY} SELECT src, dst FROM e ORDER BY md5(concat_ws('-', src, dst, 1)), src, dst LIMIT 3000")
 def adjacency_sample(s, d):
     """Three thousand edges, as are drawn for a plot."""
     return G.sampled(T.supply(s, d).edges, 3000)

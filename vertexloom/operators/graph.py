@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.operators.ordered import ranked, running_total
@@ -53,6 +53,11 @@ def augmented_edges(g: Graph) -> DataFrame:
     return normalised_edges(g, degree).unionByName(self_edges(degree))
 
 
+def is_local(v: Column, begin: int, end: int) -> Column:
+    """Whether vertex ``v`` is one of the part that owns [begin, end)."""
+    return (v >= begin) & (v < end)
+
+
 def in_neighbours(edges: DataFrame, v: int) -> DataFrame:
     return edges.filter(F.col("dst") == v)
 
@@ -135,7 +140,7 @@ def positions(edges: DataFrame) -> DataFrame:
 
 
 def synthetic(vertices: DataFrame, width: int, classes: int, seed: int = 1) -> DataFrame:
-    """``v, h, y``: features in [0, 1) and a one-hot class, both drawn by hashing the vertex id."""
+    """``v, h, y``: features in [0, 1), by a linear rule of period 10,007, and a one-hot class, by turns."""
     from vertexloom.functions.arrays import one_hot
 
     unit = lambda i: F.pmod(F.col("v") * 7919 + i * 104729 + seed * 15485863, F.lit(10007)) / 10007.0
@@ -143,5 +148,5 @@ def synthetic(vertices: DataFrame, width: int, classes: int, seed: int = 1) -> D
 
 
 def sampled(edges: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """At most ``n`` edges, those with the least hash: the same ones each time."""
-    return edges.orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst").limit(n)
+    """At most ``n`` edges, those with the least hash: the same ones each time, and in any engine that has MD5."""
+    return edges.orderBy(F.md5(F.concat_ws("-", "src", "dst", F.lit(seed))), "src", "dst").limit(n)

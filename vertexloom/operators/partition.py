@@ -70,7 +70,7 @@ def chunk_of(ids: DataFrame, column: str, chunk_table: DataFrame) -> DataFrame:
     known = chunk_table.agg(F.min("begin").alias("low"), F.max("end").alias("high"), F.count("*").alias("n")).first()
     width = max(1, (known.high - known.low) // known.n) if known.n else 1
     bucketed = chunk_table.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("begin") / width), F.floor((F.col("end") - 1) / width))))
-    joined = ids.withColumn("_bucket", F.floor(F.col(column) / width)).join(F.broadcast(bucketed), "_bucket")
+    joined = ids.withColumn("_bucket", F.floor(F.col(column) / width)).join(bucketed, "_bucket")
     return joined.filter((F.col(column) >= F.col("begin")) & (F.col(column) < F.col("end"))).drop("_bucket", "begin", "end")
 
 

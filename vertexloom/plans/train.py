@@ -6,8 +6,9 @@ driver. Activations that both passes read are kept by ``persist`` for the epoch,
 again.
 
 ``update`` tells when weights change: after each epoch by the whole gradient (``"epoch"``), after each chunk of vertices by that
-chunk's (``"chunk"``), or after each epoch by the last chunk's gradient alone, clipped (``"last_chunk"``). ``staleness`` makes the
-backward pass use weights of that many epochs ago while the newest are updated. The last three simulate asynchronous schedules,
+chunk's (``"chunk"``), or after each epoch by the last chunk's gradient alone, clipped (``"last_chunk"``). ``staleness`` makes both
+passes of an epoch use one snapshot of the weights, that of so many epochs ago, while the newest are updated: a backward pass
+sees the weights of its forward pass. The last three simulate asynchronous schedules,
 one step after another, and make no claim to any other order.
 """
 
@@ -131,13 +132,13 @@ def train(model: Model, edges: DataFrame, features: DataFrame, labels: DataFrame
     metrics, stash = [], [dict(weights)]
     for epoch in range(epochs):
         began = time.perf_counter()
-        made = forward(plan, by_src, features, weights, keep)
+        used = stash[max(0, len(stash) - 1 - staleness)]
+        made = forward(plan, by_src, features, used, keep)
         pairs = L.paired(made[model.output.op], labels)
         row = pairs.agg((F.sum(each()) / float(below)).alias("loss"), F.avg(F.when(L.hit(), 1.0).otherwise(0.0)).alias("accuracy")).first()
         if scheduler is not None:
             optimizer.rate = scheduler.step(row.loss)
         whole = gradient_of(pairs, below)
-        used = stash[max(0, len(stash) - 1 - staleness)]
         parts = [whole] if update == "epoch" else [X.row_gradient(whole, equal_chunk(F.col("v"), n, chunks) == c) for c in range(chunks)]
         for c, start in enumerate(parts):
             if update == "last_chunk" and c < chunks - 1:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
+import pathlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +32,28 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
-    """Writes ``src, dst, w`` as records to one local file, a batch of rows at a time; for exports that fit a machine."""
-    with open(path, "wb") as out:
-        rows = edges.select("src", "dst", "w").toLocalIterator(prefetchPartitions=True)
-        while batch := list(itertools.islice(rows, PIECE)):
-            out.write(np.array([tuple(r) for r in batch], RECORD).tobytes())
+    """Writes ``src, dst, w`` as records, one file for each task, into the folder ``path``, which executors must share.
+
+    A file gets its name once it is whole, and a task that is run again writes the same one.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        folder = pathlib.Path(path.removeprefix("file:"))
+        folder.mkdir(parents=True, exist_ok=True)
+        made = folder / f".part-{part:05}.{uuid.uuid4().hex}"
+        count = 0
+        with open(made, "wb") as out:
+            for batch in batches:
+                rows = np.empty(batch.num_rows, RECORD)
+                for name, column in zip(RECORD.names, ("src", "dst", "w"), strict=True):
+                    rows[name] = batch.column(column).to_numpy(zero_copy_only=False)
+                out.write(rows.tobytes())
+                count += len(rows)
+        made.rename(folder / f"part-{part:05}.bin")
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([count], pa.int64())})
+
+    edges.select("src", "dst", "w").mapInArrow(packed, "part int, n long").agg(F.sum("n")).collect()
 
 
 def vertex_count(edges: DataFrame) -> int:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +58,14 @@ def sessions(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(events.select(F.col("user_id").alias("v")).distinct(), edges)
 
 
-def sparse(spark: SparkSession, sf_dir: str, size: int = 10) -> DataFrame:
-    """Supply edges to parts up to ``size``, with all ids times three, so that there are gaps."""
-    parts = table(spark, sf_dir, "part").filter(F.col("p_size") <= size).select("p_partkey")
+def scratch(spark: SparkSession) -> str:
+    """A path for files of one query, in the folder that the session names in ``spark.checkpoint.dir``; where it names none, on one machine, in a temporary folder."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vertexloom-")
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supply edges with all ids times three, so that there are gaps."""
     s = table(spark, sf_dir, "supplier").count()
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_suppkey").cast("long") * 3).alias("src"), ((F.col("l_partkey") + s) * 3).cast("long").alias("dst"))
+    return lines.select((F.col("l_suppkey").cast("long") * 3).alias("src"), ((F.col("l_partkey") + s) * 3).cast("long").alias("dst"))

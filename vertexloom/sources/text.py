@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,23 +44,36 @@ def read_vectors(spark: SparkSession, path: str, name: str = "h", width: int | N
     return rows.select("v", F.when(good, F.col(name)).otherwise(F.raise_error(F.concat(F.lit("bad row for vertex "), F.col("v"))).cast("array<double>")).alias(name))
 
 
-def read_partition(spark: SparkSession, path: str, vertices: int) -> tuple[DataFrame, DataFrame]:
-    """``v, part`` and ``part, n_vertices, n_edges``. The file has a line for each vertex, then one for each part, both as two integers.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``i, f``: the fields of each line that isn't blank, and its number from 0. ``path`` is one file, which is read in splits.
 
-    The position of a line tells which it is, so the file is read as one; it holds two integers a vertex.
+    Lines are numbered within their split; the lines of earlier splits, one count for each split, are added.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("i", "line"))
-    f = lines.select("i", F.split(F.trim("line"), r"\s+").alias("f"))
+    raw = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"[\r\t]", " ")).alias("line"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    lines = raw.filter("line <> ''")
+    counts = lines.groupBy("split").agg(F.count("*").alias("n"))
+    before = counts.select("split", (F.sum("n").over(Window.orderBy("split")) - F.col("n")).alias("before"))
+    inside = lines.withColumn("inside", F.row_number().over(Window.partitionBy("split").orderBy("at")) - 1)
+    return inside.join(before, "split").select((F.col("before") + F.col("inside")).cast("long").alias("i"), F.split("line", r"\s+").alias("f"))
+
+
+def read_partition(spark: SparkSession, path: str, vertices: int) -> tuple[DataFrame, DataFrame]:
+    """``v, part`` and ``part, n_vertices, n_edges``. The file has a line for each vertex, then one for each part, both as two integers; a line's number tells which it is."""
+    lines = numbered_lines(spark, path)
     at = lambda k: F.get("f", F.lit(k))
-    first = f.filter(F.col("i") < vertices).select(at(0).cast("long").alias("v"), at(1).cast("int").alias("part"))
-    second = f.filter(F.col("i") >= vertices).select((F.col("i") - vertices).cast("int").alias("part"), at(0).cast("long").alias("n_vertices"), at(1).cast("long").alias("n_edges"))
+    first = lines.filter(F.col("i") < vertices).select(at(0).cast("long").alias("v"), at(1).cast("int").alias("part"))
+    second = lines.filter(F.col("i") >= vertices).select((F.col("i") - vertices).cast("int").alias("part"), at(0).cast("long").alias("n_vertices"), at(1).cast("long").alias("n_edges"))
     return first, second
 
 
 def read_part_vector(spark: SparkSession, path: str) -> DataFrame:
     """``v, part`` from a file whose i-th line is the part of vertex i."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("i", "p"))
-    return lines.select(F.col("i").cast("long").alias("v"), F.col("p").cast("int").alias("part"))
+    return numbered_lines(spark, path).select(F.col("i").alias("v"), F.get("f", F.lit(0)).cast("int").alias("part"))
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """``old, new`` from lines of two integers."""
+    return _fields(spark, path).select(F.get("f", F.lit(0)).cast("long").alias("old"), F.get("f", F.lit(1)).cast("long").alias("new"))
 
 
 def read_raw_edges(spark: SparkSession, path: str) -> DataFrame:
