@@ -44,3 +44,20 @@ def test_splitters():
     assert sharding.quantiles([], 4) == [] and sharding.quantiles([(i, 0) for i in range(8)], 4) == [(2, 0), (4, 0), (6, 0)]
     number = sharding.range_of([(1, 5), (1, 9), (3, 0)]).func
     assert number(pd.Series([0, 1, 1, 1, 2, 3, 9]), pd.Series([7, 4, 5, 9, 0, -1, 0])).tolist() == [0, 0, 1, 2, 2, 2, 3]
+
+
+def test_equal_rows_are_split(spark):
+    """Rows that share id and text, or text and no id, don't stay in one range."""
+    for i in (7, None):
+        df = spark.createDataFrame([(i, "one text of some length")] * 4000 + [(j, f"text {j}") for j in range(2000)], "doc_id long, text string")
+        got = check(df, 40, sharding.shard_by_bytes(df, ranges=64))
+        per = got.groupby("shard")["size"].sum()
+        assert len(per) == 40 and per.max() - per.min() <= 2 * got["size"].max()
+
+
+def test_the_sample_is_the_least_times_and_few_rows_are_sent(spark):
+    keys = spark.range(20000).select(F.xxhash64("id").alias("k1"), F.col("id").alias("k2"), (F.col("id") % 90 + 10).alias("size"))
+    total = keys.agg(F.sum("size")).first()[0]
+    unit = (F.pmod(F.xxhash64("k1", "k2", F.lit("sample")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    want = sorted((r.k1, r.k2) for r in keys.orderBy(-F.log(unit) / F.col("size")).limit(500).collect())
+    assert sharding.weighted_sample(keys, 500, total) == want

@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which the cluster shares; only where that is unset (tests, one machine) a temporary folder is made."""
+    """The session's ``spark.checkpoint.dir``, which the cluster shares; only where that is unset and the master is local (tests) a temporary folder is made."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vertexloom-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vertexloom-"))
     return context.getCheckpointDir()
 
 
