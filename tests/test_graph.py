@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.operators import graph as G
 from vertexloom.operators import tensor as X
-from vertexloom.operators.ordered import ranked, running_total, with_next
+from vertexloom.operators.ordered import ranked, ranked_within, running_total, with_next
 
 EDGES = [(0, 1), (0, 2), (2, 1)]
 ROWS = [(0, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [5.0, 6.0]), (3, [7.0, 8.0])]
@@ -92,6 +92,9 @@ def test_blocks_agree_with_one_window(spark):
         assert got[i * 37] == total
         total += i % 5
     assert {r.k: r.r for r in ranked(df.select("k"), "k", "r", block=64).collect()} == {i * 37: i for i in range(500)}
+    sparse = spark.createDataFrame([(k * 2**40 - 2**45, 1) for k in range(100)], "k long, x long")
+    assert sorted((r.s, r.k) for r in running_total(sparse, "k", "x", "s", block=64, group=8).collect()) == [(k, k * 2**40 - 2**45) for k in range(100)]
+    assert {(r.k, r.r) for r in ranked_within(df, "x", "k", "r", block=100).collect()} == {(i * 37, i // 5) for i in range(500)}
     nxt = {r.k: r.n for r in with_next(df, F.floor(F.col("k") / 1000), ["k"], "k", "n").collect()}
     assert nxt == {i * 37: ((i + 1) * 37 if i < 499 else None) for i in range(500)}
 

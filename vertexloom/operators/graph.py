@@ -10,7 +10,7 @@ import dataclasses
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.operators.ordered import ranked, running_total
+from vertexloom.operators.ordered import ranked, ranked_within, running_total
 
 
 @dataclasses.dataclass(frozen=True)
@@ -112,14 +112,8 @@ def degree_order(g: Graph) -> DataFrame:
     """A mapping ``old, new`` that puts vertices of greater in-degree first, ties by id."""
     keyed = degrees(g).select(F.col("v").alias("old"), "d_in")
     sizes = running_total(keyed.groupBy("d_in").agg(F.count("*").alias("n")).withColumn("down", -F.col("d_in")), "down", "n", "first")
-    from pyspark.sql import Window
-
-    salt = F.floor(F.col("old") / 4096)
-    block = keyed.withColumn("block", salt)
-    per = block.groupBy("d_in", "block").agg(F.count("*").alias("c"))
-    ahead = per.withColumn("ahead", F.sum("c").over(Window.partitionBy("d_in").orderBy("block")) - F.col("c")).drop("c")
-    inner = F.row_number().over(Window.partitionBy("d_in", "block").orderBy("old")) - 1
-    return block.withColumn("inner", inner).join(ahead, ["d_in", "block"]).join(sizes.select("d_in", "first"), "d_in").select("old", (F.col("first") + F.col("ahead") + F.col("inner")).cast("long").alias("new"))
+    placed = ranked_within(keyed, "d_in", "old", "place").join(sizes.select("d_in", "first"), "d_in")
+    return placed.select("old", (F.col("first") + F.col("place")).cast("long").alias("new"))
 
 
 def sorted_by(edges: DataFrame, end: str) -> DataFrame:
@@ -128,14 +122,11 @@ def sorted_by(edges: DataFrame, end: str) -> DataFrame:
 
 
 def positions(edges: DataFrame) -> DataFrame:
-    """``src, dst, by_src, by_dst``: places of distinct edges in the two sorted copies, without sorting the whole table in one task."""
-    from pyspark.sql import Window
-
+    """``src, dst, by_src, by_dst``: places of distinct edges in the two sorted copies, without sorting the whole table, or all edges of a hub, in one task."""
     out = edges.select("src", "dst")
     for end, other in (("src", "dst"), ("dst", "src")):
         starts = running_total(edges.groupBy(F.col(end).alias("k")).agg(F.count("*").alias("n")), "k", "n", "start").select(F.col("k").alias(end), "start")
-        place = F.row_number().over(Window.partitionBy(end).orderBy(other)) - 1
-        out = out.withColumn("place", place).join(starts, end).withColumn(f"by_{end}", (F.col("start") + F.col("place")).cast("long")).drop("start", "place")
+        out = ranked_within(out, end, other, "place").join(starts, end).withColumn(f"by_{end}", (F.col("start") + F.col("place")).cast("long")).drop("start", "place")
     return out.select("src", "dst", "by_src", "by_dst")
 
 

@@ -55,6 +55,11 @@ def fragments(parts: DataFrame) -> DataFrame:
     return cut.filter("end is not null")
 
 
+def owners(parts: DataFrame, cut: DataFrame) -> DataFrame:
+    """The rows of ``parts`` with each ``fragment`` of ``cut`` in their ranges. A fragment lies inside a range or outside."""
+    return cut.join(F.broadcast(parts), (F.col("begin") >= F.col("vid_begin")) & (F.col("end") <= F.col("vid_end")))
+
+
 def chunks(parts: DataFrame, size: int) -> DataFrame:
     """``chunk, begin, end, fragment``: fragments cut into pieces of ``size``, the last of each being shorter."""
     pieces = fragments(parts).select("fragment", F.col("end").alias("stop"), F.explode(F.expr(f"sequence(begin, end - 1, {size}L)")).alias("begin"))
@@ -111,8 +116,7 @@ def stage_links(ops: DataFrame, op_edges: DataFrame, parts: DataFrame) -> DataFr
     Forward: outputs that it consumes and another part of that fragment produces. Backward: gradients of its outputs from the parts
     that consume them. Weights aren't counted.
     """
-    frag = fragments(parts)
-    owner = frag.join(F.broadcast(parts), (F.col("begin") >= F.col("vid_begin")) & (F.col("end") <= F.col("vid_end"))).select("fragment", "part", "op_begin", "op_end")
+    owner = owners(parts, fragments(parts)).select("fragment", "part", "op_begin", "op_end")
     tensors = op_edges.join(ops.filter("kind <> 'WEIGHT'").select(F.col("op").alias("producer")), "producer")
     a, b = owner.alias("a"), owner.alias("b")
     pairs = a.join(b, (F.col("a.fragment") == F.col("b.fragment")) & (F.col("a.part") != F.col("b.part")))
@@ -123,12 +127,16 @@ def stage_links(ops: DataFrame, op_edges: DataFrame, parts: DataFrame) -> DataFr
 
 
 def range_pairs(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """``part, peer``: an edge leads from the part's range into the peer's; ranges that coincide or overlap count as well."""
-    ranges = F.broadcast(parts.select("part", "vid_begin", "vid_end"))
-    a = ranges.select(F.col("part"), F.col("vid_begin").alias("ab"), F.col("vid_end").alias("ae"))
-    b = ranges.select(F.col("part").alias("peer"), F.col("vid_begin").alias("bb"), F.col("vid_end").alias("be"))
-    from_ = edges.select("src", "dst").join(F.broadcast(a), (F.col("src") >= F.col("ab")) & (F.col("src") < F.col("ae")))
-    return from_.join(F.broadcast(b), (F.col("dst") >= F.col("bb")) & (F.col("dst") < F.col("be")) & (F.col("part") != F.col("peer"))).select("part", "peer").distinct()
+    """``part, peer``: an edge leads from the part's range into the peer's; ranges that coincide or overlap count as well.
+
+    Each end finds its fragment once; what is compared with the parts is the distinct pairs of fragments, not the edges.
+    """
+    cut = fragments(parts)
+    ends = chunk_of(edges.select("src", "dst"), "src", cut).select("dst", F.col("fragment").alias("from"))
+    ends = chunk_of(ends, "dst", cut).select("from", F.col("fragment").alias("to")).distinct()
+    own = owners(parts, cut)
+    a, b = own.select(F.col("fragment").alias("from"), "part"), own.select(F.col("fragment").alias("to"), F.col("part").alias("peer"))
+    return ends.join(a, "from").join(b, "to").filter("part <> peer").select("part", "peer").distinct()
 
 
 def graph_links(ops: DataFrame, op_edges: DataFrame, parts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -152,13 +160,18 @@ def graph_links(ops: DataFrame, op_edges: DataFrame, parts: DataFrame, edges: Da
 
 
 def updates_to_receive(edges: DataFrame, parts: DataFrame, chunk_table: DataFrame) -> DataFrame:
-    """``part, activations, gradients``: for each part the remote chunks that own at least one of its in- or out-neighbours."""
-    ranges = F.broadcast(parts.select("part", "vid_begin", "vid_end").dropDuplicates(["part"]))
+    """``part, activations, gradients``: for each part the remote chunks that own at least one of its in- or out-neighbours.
+
+    ``chunk_table`` is that of ``parts``. Edges are reduced to distinct pairs of a fragment and a chunk before parts are looked up.
+    """
+    cut = fragments(parts)
+    own_ranges = owners(parts.select("part", "vid_begin", "vid_end").dropDuplicates(["part"]), cut).select("part", "fragment")
 
     def counted(own: str, other: str, name: str) -> DataFrame:
-        inside = edges.join(ranges, (F.col(own) >= F.col("vid_begin")) & (F.col(own) < F.col("vid_end")) & ~((F.col(other) >= F.col("vid_begin")) & (F.col(other) < F.col("vid_end"))))
-        pairs = inside.select("part", F.col(other).alias("v")).distinct()
-        return chunk_of(pairs, "v", chunk_table).groupBy("part").agg(F.countDistinct("chunk").alias(name))
+        near = chunk_of(edges.select("src", "dst"), own, cut).withColumnRenamed("fragment", "near")
+        pairs = chunk_of(near, other, chunk_table).select("near", "chunk", "fragment").distinct()
+        remote = pairs.join(own_ranges.withColumnRenamed("fragment", "near"), "near").join(own_ranges, ["part", "fragment"], "left_anti")
+        return remote.groupBy("part").agg(F.countDistinct("chunk").alias(name))
 
     both = parts.select("part").distinct().join(counted("dst", "src", "activations"), "part", "left").join(counted("src", "dst", "gradients"), "part", "left")
     return both.select("part", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("activations", "gradients")))

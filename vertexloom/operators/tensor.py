@@ -93,8 +93,12 @@ def aggregate(edges: DataFrame, x: DataFrame, width: int, kind: str = "norm_sum"
         return gathered.groupBy(F.col("dst").alias("v")).agg(A.pooled(POOLS[kind], F.col("h"), width).alias("h"))
     if width <= A.UNROLLED:
         return gathered.groupBy(F.col("dst").alias("v")).agg(F.array(*(F.sum(F.col("w") * F.col("h")[k]) for k in range(width))).alias("h"))
-    long = gathered.select("dst", "w", F.posexplode("h").alias("k", "x")).groupBy("dst", "k").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-    return long.groupBy(F.col("dst").alias("v")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("h"))
+    # Wider rows are summed in slices, each of them unrolled, so that what is shuffled is a row for each task, vertex and slice.
+    slices = F.array(*(F.slice("h", first + 1, A.UNROLLED) for first in range(0, width, A.UNROLLED)))
+    summed = F.array(*(F.sum(F.col("w") * F.get("part", F.lit(k))) for k in range(A.UNROLLED)))
+    parts = gathered.select("dst", "w", F.posexplode(slices).alias("slice", "part")).groupBy("dst", "slice").agg(summed.alias("part"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slice", "part"))), lambda s: s["part"]))
+    return parts.groupBy(F.col("dst").alias("v")).agg(F.slice(whole, 1, width).alias("h"))
 
 
 def aggregate_gradient(edges: DataFrame, dy: DataFrame, width: int) -> DataFrame:

@@ -53,8 +53,8 @@ def market(spark: SparkSession, sf_dir: str) -> Graph:
 def sessions(spark: SparkSession, sf_dir: str) -> Graph:
     """Users; an edge from each event's user to the next event's, with repeats and self loops."""
     events = table(spark, sf_dir, "events").select("ts", "event_id", F.col("user_id").cast("long").alias("user_id"))
-    hour = F.floor(F.unix_timestamp("ts") / 3600)
-    edges = with_next(events, hour, ["ts", "event_id"], "user_id", "dst").filter("dst is not null").select(F.col("user_id").alias("src"), "dst")
+    minute = F.floor(F.unix_timestamp("ts") / 60)
+    edges = with_next(events, minute, ["ts", "event_id"], "user_id", "dst").filter("dst is not null").select(F.col("user_id").alias("src"), "dst")
     return Graph(events.select(F.col("user_id").alias("v")).distinct(), edges)
 
 
